@@ -9,6 +9,7 @@ from .quality import NATURAL_KEY
 
 COMPANY_THRESHOLD = 88.0
 SCHEME_THRESHOLD = 82.0
+ANY_BLOCK = "*"
 
 
 def _keyed(names: DataFrame, prefix: str, threshold: float) -> DataFrame:
@@ -36,16 +37,17 @@ def best_match(names: DataFrame, choices: DataFrame, threshold: float,
     t = F.lit(threshold)
     met = left.join(right, on)
     close = met.filter(F.least(la, lb) * 200 >= t * (la + lb))
-    pairs = close.select("l_n", "r_n", "l_s", "r_s").distinct()
-    lcs = sim.lcs_length(F.col("l_s"), F.col("r_s"))
-    scored = pairs.withColumn("_lcs2", lcs * 2).withColumn(
-        "_len", F.length("l_s") + F.length("r_s"))
-    kept = scored.filter(F.col("_lcs2") * 100 >= t * F.col("_len")).withColumn(
-        "score", F.col("_lcs2") / F.col("_len"))
-    # One aggregate instead of a window: the best (score, then name) survives map-side.
-    best = kept.groupBy("l_n").agg(F.max("score").alias("score"))
-    return (kept.join(best, ["l_n", "score"]).groupBy(F.col("l_n").alias("n"), "score")
-            .agg(F.min("r_n").alias("match")))
+    # Words as aggregates, not as keys: the costly score must not be pushed below this
+    # step, where a pair still has one row per shared key.
+    pairs = close.groupBy("l_n", "r_n").agg(
+        F.first("l_s").alias("l_s"), F.first("r_s").alias("r_s"))
+    worse = -2.0 * sim.lcs_length(F.col("l_s"), F.col("r_s")) / (
+        F.length("l_s") + F.length("r_s"))
+    best = pairs.groupBy(F.col("l_n").alias("n")).agg(
+        F.min(F.struct(worse.alias("worse"), F.col("r_n").alias("match"))).alias("b"))
+    score = -F.col("b.worse")
+    return best.filter(score * 100 >= threshold - 1e-9).select(
+        "n", score.alias("score"), F.col("b.match").alias("match"))
 
 
 def resolve_names(names: DataFrame, companies: DataFrame,
@@ -55,14 +57,12 @@ def resolve_names(names: DataFrame, companies: DataFrame,
     block = F.substring("n", 1, idf.BLOCK_CHARS)
     choices = (companies.select(idf.normalise_name(F.col("company_name")).alias("n"), "isin")
                .filter(F.col("n") != "").groupBy("n").agg(F.min("isin").alias("isin")))
-    blocked_choices = choices.select("n", block.alias("block"))
-    mine = names.select("n", block.alias("block"))
-    known_blocks = blocked_choices.select("block").distinct()
-    inside = best_match(mine.join(known_blocks, "block", "left_semi"), blocked_choices,
-                        threshold, blocked=True)
-    outside = best_match(mine.join(known_blocks, "block", "left_anti").select("n"),
-                         choices.select("n"), threshold)
-    return (inside.unionByName(outside)
+    # Each choice stands in its own block and in the common one for names without a block.
+    placed = choices.select("n", F.explode(F.array(block, F.lit(ANY_BLOCK))).alias("block"))
+    known = placed.select("block").distinct().withColumn("_known", F.lit(True))
+    mine = (names.select("n", block.alias("block")).join(known, "block", "left")
+            .select("n", F.when(F.col("_known"), F.col("block")).otherwise(ANY_BLOCK).alias("block")))
+    return (best_match(mine, placed, threshold, blocked=True)
             .join(choices.withColumnRenamed("n", "match"), "match")
             .select("n", F.col("isin").alias("fuzzy_isin"), "score"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..schemas import assert_readable, conform
@@ -40,7 +41,7 @@ def required_tables(spark: SparkSession, root: str, names: list[str]) -> dict[st
     for name in names:
         try:
             found[name] = spark.read.parquet(f"{root}/{name}")
-        except Exception:  # the reader's class for a missing path is internal
+        except AnalysisException:
             missing.append(name)
     if missing:
         raise FileNotFoundError(f"missing warehouse tables: {missing}")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 LOG = T.StructType([
@@ -20,16 +21,16 @@ def _log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG).parquet(f"{path}/log")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def _last_snapshot(spark: SparkSession, path: str) -> int:
+    try:
+        return _log(spark, path).agg(F.coalesce(F.max("snapshot_id"), F.lit(0))).first()[0]
+    except AnalysisException:  # no log yet
+        return 0
 
 
 def _commit(df: DataFrame, path: str, operation: str) -> dict:
     spark = df.sparkSession
-    last = (_log(spark, path).agg(F.max("snapshot_id")).first()[0]
-            if _exists(spark, f"{path}/log") else None)
-    snapshot = (last or 0) + 1
+    snapshot = _last_snapshot(spark, path) + 1
     seen = Observation()
     (df.observe(seen, F.count(F.lit(1)).alias("n"))
      .write.mode("overwrite").parquet(f"{path}/data/snapshot_id={snapshot}"))
