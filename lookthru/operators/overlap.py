@@ -45,19 +45,30 @@ def scheme_company_weights(equity: DataFrame, *more_keys: str) -> DataFrame:
             .agg((F.sum(exact_weight()) * _MICRO).cast("bigint").alias("w")))
 
 
+def _pairs(weights: DataFrame, by: list[str], salt: int) -> DataFrame:
+    key = [*by, "company_id"]
+    t = tiled(weights, key, "scheme_code", salt or None)
+    joined = t.alias("a").join(t.alias("b"), pair_condition(
+        "a", "b", key, "scheme_code", "scheme_code"))
+    return (joined.groupBy(*[F.col(f"a.{c}").alias(c) for c in by],
+                           F.col("a.scheme_code").alias("s1"), F.col("b.scheme_code").alias("s2"))
+            .agg((F.sum(F.least("a.w", "b.w")) / F.lit(float(_MICRO))).alias("overlap_pct")))
+
+
 def overlap_pairs(holdings: DataFrame, month: dt.date | None = None, salt: int = 0) -> DataFrame:
-    """Overlapping pairs ``s1 < s2`` with their unrounded overlap.
+    """Overlapping pairs ``s1 < s2`` of one month with their unrounded overlap.
 
     Rows are first reduced to one per (company, scheme). ``salt`` fixes the number of
     blocks a company is cut into; by default only companies held by very many schemes
     are cut. Sums run on integers, so the result does not depend on the plan.
     """
-    weights = scheme_company_weights(latest_holdings(holdings, month))
-    t = tiled(weights, ["company_id"], "scheme_code", salt or None)
-    joined = t.alias("a").join(t.alias("b"), pair_condition(
-        "a", "b", ["company_id"], "scheme_code", "scheme_code"))
-    return (joined.groupBy(F.col("a.scheme_code").alias("s1"), F.col("b.scheme_code").alias("s2"))
-            .agg((F.sum(F.least("a.w", "b.w")) / F.lit(float(_MICRO))).alias("overlap_pct")))
+    return _pairs(scheme_company_weights(latest_holdings(holdings, month)), [], salt)
+
+
+def overlap_history(holdings: DataFrame, salt: int = 0) -> DataFrame:
+    """The same for every month of the history, in one job."""
+    weights = scheme_company_weights(resolved_equity(holdings), "disclosure_month")
+    return _pairs(weights, ["disclosure_month"], salt)
 
 
 def _rounded(col: str) -> Column:

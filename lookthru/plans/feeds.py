@@ -247,7 +247,8 @@ def instrument_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statement pages: one holding line each, between personal details."""
-    item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    item = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice")
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     j = item.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
     text = F.concat(
@@ -257,7 +258,8 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string("%,.3f", F.col("l_quantity")), F.lit("  "),
         F.format_string("%.4f", F.lit(10.0)), F.lit("  "),
         F.format_string("%,.2f", F.col("l_extendedprice")), F.lit("\nend of page"))
-    return j.select(code("P", "o_custkey").alias("statement_id"), text.alias("text"))
+    return j.select(code("P", "o_custkey").alias("statement_id"),
+                    (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("page"), text.alias("text"))
 
 
 def disclosure_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,6 +273,74 @@ def disclosure_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(name.alias("scheme_name"))
 
 
+def filed_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holdings with faults for the gates: unresolved companies and doubled scheme-months."""
+    h = holdings(spark, sf_dir)
+    turn = (F.substring("scheme_code", 2, 10).cast("int") + F.month("disclosure_month")) % 9
+    copies = F.when(turn == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    lost = F.col("instrument_name_raw") == "LARGE Brand#7"
+    return h.withColumn("company_id", F.when(~lost, F.col("company_id"))).withColumn(
+        "_copy", F.explode(copies)).drop("_copy")
+
+
+def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposed column mappings of every sheet, one of them made up and one empty."""
+    lines = sheet_lines(spark, sf_dir)
+    return lines.select("source_file").distinct().select("source_file", F.explode(F.array(
+        *[F.struct(F.lit(f).alias("field"), F.lit(c).cast("string").alias("column"))
+          for f, c in (("instrument_name", "Name of the Instrument"), ("isin", "ISIN"),
+                       ("quantity", "Units Held"), ("market_value", None))])).alias("m")).select(
+        "source_file", "m.*")
+
+
+def customer_isins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    k = F.col("c_custkey")
+    body = F.concat(F.lit("INE"), F.lpad(k.cast("string"), 8, "0"), (k % 10).cast("string"))
+    raw = (F.when(k % 7 == 0, F.lit("N.A.")).when(k % 5 == 0, F.lower(F.concat(
+        F.substring(body, 1, 3), F.lit("-"), F.substring(body, 4, 20)))).otherwise(body))
+    return c.select("c_custkey", raw.alias("raw"))
+
+
+def customer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    k = F.col("c_custkey") % 4
+    raw = (F.when(k == 0, F.concat(F.lit("The "), "c_mktsegment", F.lit(" & "), "c_name", F.lit(" Co. Ltd.")))
+           .when(k == 1, F.concat("c_name", F.lit("  Private LIMITED - Equity Shares")))
+           .when(k == 2, F.concat(F.lit("Holdings of "), "c_mktsegment", F.lit(" Corp, Unlisted")))
+           .otherwise(F.col("c_name")))
+    return c.select("c_custkey", raw.alias("raw"))
+
+
+def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    k = (F.col("l_orderkey") + F.col("l_linenumber")) % 6
+    p = F.col("l_extendedprice").cast(MONEY).cast("string")
+    raw = (F.when(k == 0, F.concat(F.lit("₹ "), p)).when(k == 1, F.concat(p, F.lit("%")))
+           .when(k == 2, F.concat(F.lit("("), p, F.lit(")"))).when(k == 3, F.lit("--"))
+           .when(k == 4, F.format_string("%,.2f", F.col("l_extendedprice"))).otherwise(F.concat(F.lit("x"), p)))
+    return item.select("l_orderkey", "l_linenumber", raw.alias("raw"))
+
+
+def instrument_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    k = F.col("p_partkey") % 8
+    tail = (F.when(k == 0, " 7% Bond").when(k == 1, " TREPS").when(k == 2, " Index Future")
+            .when(k == 3, " Net Receivables").when(k == 4, " G-Sec").otherwise(""))
+    isin = F.when(k == 5, "INE002A01018").when(k == 6, "IN0020200001")
+    quantity = F.when(F.col("p_size") > 10, F.col("p_size").cast("double"))
+    return p.select("p_partkey", F.concat("p_name", tail).alias("name"), isin.alias("isin"),
+                    quantity.alias("quantity"))
+
+
+def documents_with_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole document texts, some with a tax id and a folio number at the end."""
+    k = F.col("doc_id") % 3
+    tail = (F.when(k == 0, "\nPAN ABCDE1234F, Folio No: 55/7 ").when(k == 1, "\nmail a.b+c@d-e.example!")
+            .otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", tail).alias("text"))
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders as a table with one snapshot per year, the fourth of which replaced all before."""
     o = table(spark, sf_dir, "orders")

@@ -136,11 +136,12 @@ def direct_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares each customer holds directly, with the last traded price."""
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     trade = _trades(spark, sf_dir)
+    unit = F.col("price").cast("double") / F.col("qty").cast("double")
     return (trade.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
             .groupBy(code("P", "o_custkey").alias("portfolio_id"),
                      F.col("company_id").alias("isin"), "p_type", "p_brand")
             .agg(F.sum("qty").alias("q"), F.sum("price").alias("cost"),
-                 F.max(F.round(F.col("price") / F.col("qty"), 2).cast(MONEY)).alias("ltp"))
+                 F.max(F.round(unit.cast("decimal(18,6)"), 2).cast(MONEY)).alias("ltp"))
             .select("portfolio_id", "isin", F.concat_ws(" ", "p_type", "p_brand").alias("symbol"),
                     F.col("q").cast("double").alias("quantity"),
                     (F.col("cost").cast("double") / F.col("q").cast("double"))
