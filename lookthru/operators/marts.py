@@ -124,7 +124,7 @@ def crowding(holdings: DataFrame, schemes: DataFrame, companies: DataFrame,
     aum = schemes.select("scheme_code", F.col("aum_cr").cast("decimal(18,2)").alias("aum"))
     value = F.col("w") * F.coalesce("aum", F.lit(0).cast("decimal(18,2)"))
     held = (w.join(aum, "scheme_code", "left").groupBy("company_id")
-            .agg((F.sum(value) / 100).cast("decimal(28,10)").alias("v")))
+            .agg((F.sum(value).cast("decimal(30,8)") / 100).cast("decimal(28,10)").alias("v")))
     info = companies.select("isin", "company_name", "cap_bucket", "free_float_shares_cr")
     return held.join(info, F.col("company_id") == F.col("isin")).select(
         "company_id", "isin", "company_name", "cap_bucket", "free_float_shares_cr",

@@ -381,6 +381,11 @@ _ORACLE: dict[str, str] = {
               "FROM (SELECT l_orderkey, l_linenumber, (l_orderkey + l_linenumber) % 6 AS k, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS p FROM lineitem)",
     "asset_classify": "SELECT p_partkey, CASE k WHEN 0 THEN 'debt' WHEN 1 THEN 'cash' WHEN 2 THEN 'derivative' WHEN 4 THEN 'debt' WHEN 5 THEN 'equity' WHEN 6 THEN 'debt' "
                       "ELSE CASE WHEN p_size > 10 THEN 'equity' ELSE 'other' END END AS asset_class FROM (SELECT p_partkey, p_size, p_partkey % 8 AS k FROM part)",
+    "pii_redact": "SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, "
+                  "regexp_replace(regexp_replace(regexp_replace(text || CASE doc_id % 3 WHEN 0 THEN chr(10) || 'PAN ABCDE1234F, Folio No: 55/7 ' WHEN 1 THEN chr(10) || 'mail a.b+c@d-e.example!' ELSE '' END, "
+                  "'\\b[A-Z]{{5}}[0-9]{{4}}[A-Z]\\b', '[PAN REDACTED]', 'g'), "
+                  "'[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_.+-]*@[\\p{{L}}\\p{{N}}_-]+\\.[\\p{{L}}\\p{{N}}_.]*[\\p{{L}}\\p{{N}}_]', '[EMAIL REDACTED]', 'g'), "
+                  "'(?i)\\bFolio No[:.]?\\s*([\\p{{L}}\\p{{N}}_/\\- ]+)', 'Folio No: [REDACTED]', 'g') AS t FROM documents)",
     "scheme_code": "SELECT s_suppkey, 'S' || upper(substr(sha1(lower(trim(s_name))), 1, 9)) AS scheme_code FROM supplier",
     "statement_holdings": "SELECT 'P' || lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS statement_id, 'IN' || lpad(CAST(l_suppkey AS VARCHAR), 10, '0') AS isin, "
                           "'Scheme ' || l_suppkey || ' Growth' AS scheme_name, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS units, CAST(10 AS DOUBLE) AS nav, "
