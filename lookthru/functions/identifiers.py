@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .similarity import let
+
 # Texts that stand for "no identifier" once punctuation is gone.
 NO_IDENTIFIER = ("", "NAN", "NONE", "NA", "NIL", "NULL")
 # Words that carry no identity in a company name.
@@ -27,26 +29,29 @@ def isin_normalise(raw: Column) -> Column:
 def _check_sum(isin: Column) -> Column:
     # Letters widen to two digits (A=10 ... Z=35), so the parity of a position is
     # known only after widening; hence one pass over the widened digits from the right.
-    widened = F.array_join(
-        F.transform(F.split(isin, ""), lambda c: F.when(
-            c.rlike("[A-Z]"), (F.ascii(c) - 55).cast("string")).otherwise(c)), "")
-    digits = F.filter(F.split(F.reverse(widened), ""), lambda c: c != "")
+    widened = F.array_join(F.transform(F.split(isin, ""), lambda c: F.when(
+        c >= "A", (F.ascii(c) - 55).cast("string")).otherwise(c)), "")
 
     def contribution(d: Column, i: Column) -> Column:
-        v = d.cast("int") * (1 + i % 2)
+        v = F.when(d == "", 0).otherwise(d.try_cast("int")) * (1 + i % 2)
         return F.when(v > 9, v - 9).otherwise(v)
 
-    return F.aggregate(F.transform(digits, contribution), F.lit(0), lambda a, v: a + v)
+    return F.aggregate(F.transform(F.split(F.reverse(widened), ""), contribution), F.lit(0),
+                       lambda a, v: a + v)
+
+
+def valid_isin(raw: Column) -> Column:
+    """The normalised identifier if it is well formed and its check digit fits, else NULL."""
+    return let(F.upper(F.regexp_replace(raw.cast("string"), "[^A-Za-z0-9]", "")), lambda s: F.when(
+        s.rlike("^[A-Z]{2}[A-Z0-9]{9}[0-9]$") & (_check_sum(s) % 10 == 0), s))
 
 
 def isin_valid(raw: Column) -> Column:
-    s = isin_normalise(raw)
-    shaped = s.rlike("^[A-Z]{2}[A-Z0-9]{9}[0-9]$")
-    return F.coalesce(F.when(shaped, _check_sum(s) % 10 == 0), F.lit(False))
+    return valid_isin(raw).isNotNull()
 
 
 def isin_is_equity(raw: Column) -> Column:
-    return isin_valid(raw) & isin_normalise(raw).startswith("INE")
+    return F.coalesce(valid_isin(raw).startswith("INE"), F.lit(False))
 
 
 def squash(text: Column) -> Column:

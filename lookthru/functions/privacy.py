@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .similarity import let
+
 # What is hidden, in this order, and by what.
 TAX_ID = (r"(?U)\b[A-Z]{5}\d{4}[A-Z]\b", "[PAN REDACTED]")
 EMAIL = (r"(?U)\b[\w.+-]+@[\w-]+\.[\w.]+\b", "[EMAIL REDACTED]")
@@ -20,7 +22,16 @@ def redact(text: Column) -> Column:
 
 
 def holding_lines(text: Column) -> Column:
-    """Array of structs, one per holding line found anywhere in the text."""
-    group = [F.regexp_extract_all(text, F.lit(HOLDING_LINE), F.lit(i)) for i in range(1, 6)]
-    return F.arrays_zip(*[g.alias(n) for g, n in zip(
-        group, ("isin", "scheme", "units", "nav", "value"))])
+    """Array of structs, one per holding line found anywhere in the text.
+
+    The long text is searched once; the parts of a found line are cut from it.
+    """
+    def cut(line: Column) -> Column:
+        words = F.split(F.regexp_replace(line, r"(?U)^.{12}\s*[-–]\s*", ""), r"(?U)\s+")
+        return let(words, lambda w: F.struct(
+            F.substring(line, 1, 12).alias("isin"),
+            F.array_join(F.slice(w, 1, F.size(w) - 3), " ").alias("scheme"),
+            F.element_at(w, -3).alias("units"), F.element_at(w, -2).alias("nav"),
+            F.element_at(w, -1).alias("value")))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(HOLDING_LINE), F.lit(0)), cut)

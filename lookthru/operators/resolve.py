@@ -30,9 +30,15 @@ def best_match(names: DataFrame, choices: DataFrame, threshold: float,
     (see ``match_keys``: nothing at or above the threshold is missed) and have close
     enough lengths. Ties go to the alphabetically first choice.
     """
-    on = ["_key"] + (["block"] if blocked else [])
-    left = _keyed(names, "l_", threshold)
+    where = ["block"] if blocked else []
+    words = sim.sort_words(F.col("n"))
+    equal = (names.withColumn("_s", words).join(
+        choices.withColumn("_s", words).groupBy(*where, "_s").agg(F.min("n").alias("match")),
+        [*where, "_s"]).select("n", F.lit(1.0).alias("score"), "match"))
+    # Names with equal words are done; most spelling variants end here.
+    left = _keyed(names.join(equal, "n", "left_anti"), "l_", threshold)
     right = _keyed(choices, "r_", threshold)
+    on = ["_key", *where]
     la, lb = F.length("l_s"), F.length("r_s")
     t = F.lit(threshold)
     met = left.join(right, on)
@@ -46,8 +52,8 @@ def best_match(names: DataFrame, choices: DataFrame, threshold: float,
     best = pairs.groupBy(F.col("l_n").alias("n")).agg(
         F.min(F.struct(worse.alias("worse"), F.col("r_n").alias("match"))).alias("b"))
     score = -F.col("b.worse")
-    return best.filter(score * 100 >= threshold - 1e-9).select(
-        "n", score.alias("score"), F.col("b.match").alias("match"))
+    return equal.unionByName(best.filter(score * 100 >= threshold - 1e-9).select(
+        "n", score.alias("score"), F.col("b.match").alias("match")))
 
 
 def resolve_names(names: DataFrame, companies: DataFrame,
@@ -74,7 +80,7 @@ def resolve_entities(bronze: DataFrame, companies: DataFrame,
     Ladder: listed ISIN 1.0, valid but unlisted ISIN 0.9, name match by its score,
     otherwise unresolved 0.0. Only distinct unresolved names enter the name match.
     """
-    own = F.when(idf.isin_valid(F.col("isin")), idf.isin_normalise(F.col("isin")))
+    own = idf.valid_isin(F.col("isin"))
     rows = bronze.select("*", own.alias("_isin"),
                          idf.normalise_name(F.col("instrument_name_raw")).alias("_n"))
     rows = rows.withColumn("_n", F.when(F.col("_isin").isNull() & (F.col("_n") != ""), F.col("_n")))

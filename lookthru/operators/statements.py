@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.cells import to_num
-from ..functions.identifiers import squash
 from ..functions.privacy import holding_lines, redact
 
 
@@ -22,8 +21,8 @@ def statement_holdings(pages: DataFrame, col: str = "text") -> DataFrame:
     lines = redacted(pages, col).select("statement_id", "page", F.posexplode(
         holding_lines(F.col(col))).alias("at", "h"))
     typed = lines.select(
-        "statement_id", F.struct("page", "at").alias("at"), F.trim("h.isin").alias("isin"),
-        squash(F.col("h.scheme")).alias("scheme_name"),
+        "statement_id", F.struct("page", "at").alias("at"), F.col("h.isin").alias("isin"),
+        F.col("h.scheme").alias("scheme_name"),
         to_num(F.col("h.units")).cast("decimal(24,6)").alias("units"),
         to_num(F.col("h.nav")).alias("nav"),
         to_num(F.col("h.value")).cast("decimal(24,2)").alias("value"))
