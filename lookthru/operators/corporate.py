@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..schemas import CORP_ACTION
+from .tiles import spread_nulls
 
 
 def read_actions(spark: SparkSession, path: str) -> DataFrame:
@@ -46,7 +47,7 @@ def adjust_holdings(holdings: DataFrame, actions: DataFrame, as_of: dt.date,
     """
     spans = _span_factors(actions, as_of)
     day = F.col(date_col)
-    on = ((F.col(isin_col) == F.col("_isin")) & (day < F.col("_to"))
+    on = ((F.col("_key") == F.col("_isin")) & (day < F.col("_to"))
           & (F.col("_from").isNull() | (F.col("_from") <= day)))
     remap = (actions.filter(F.col("action_type").isin("merger", "demerger")
                             & F.col("new_isin").isNotNull() & (F.col("ex_date") <= F.lit(as_of)))
@@ -56,7 +57,9 @@ def adjust_holdings(holdings: DataFrame, actions: DataFrame, as_of: dt.date,
     renamed: list[Column] = [
         F.coalesce("_new", isin_col).alias(isin_col) if c == isin_col else F.col(c)
         for c in holdings.columns]
-    j = holdings.join(spans, on, "left").join(remap, F.col(isin_col) == F.col("_old"), "left")
+    # Cash rows have no identifier; they must not all meet in one task.
+    keyed = holdings.withColumn("_key", spread_nulls(F.col(isin_col), *holdings.columns))
+    j = keyed.join(spans, on, "left").join(remap, F.col("_key") == F.col("_old"), "left")
     out = [*renamed, F.col(isin_col).alias(f"{isin_col}_original"),
            factor.alias("qty_adjustment_factor")]
     if "quantity" in holdings.columns:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import identifiers as idf, similarity as sim
 from .quality import NATURAL_KEY
+from .tiles import spread_nulls
 
 COMPANY_THRESHOLD = 88.0
 SCHEME_THRESHOLD = 82.0
@@ -85,10 +86,13 @@ def resolve_entities(bronze: DataFrame, companies: DataFrame,
                          idf.normalise_name(F.col("instrument_name_raw")).alias("_n"))
     rows = rows.withColumn("_n", F.when(F.col("_isin").isNull() & (F.col("_n") != ""), F.col("_n")))
     names = rows.filter(F.col("_n").isNotNull()).select(F.col("_n").alias("n")).distinct()
-    matched = resolve_names(names, companies, threshold).withColumnRenamed("n", "_n")
+    matched = resolve_names(names, companies, threshold).withColumnRenamed("n", "_name_key")
     listed = companies.select(F.col("isin").alias("_listed")).distinct()
-    j = (rows.join(listed, F.col("_isin") == F.col("_listed"), "left")
-         .join(matched, "_n", "left"))
+    by = ("source_file", "instrument_name_raw")
+    keyed = (rows.withColumn("_isin_key", spread_nulls(F.col("_isin"), *by))
+             .withColumn("_name_key", spread_nulls(F.col("_n"), *by)))
+    j = (keyed.join(listed, F.col("_isin_key") == F.col("_listed"), "left")
+         .join(matched, "_name_key", "left"))
     method = (F.when(F.col("_listed").isNotNull(), "isin")
               .when(F.col("_isin").isNotNull(), "isin_unmapped")
               .when(F.col("fuzzy_isin").isNotNull(), "fuzzy_name").otherwise("unresolved"))
@@ -107,7 +111,9 @@ def demote_unresolved(df: DataFrame, companies: DataFrame) -> DataFrame:
     cls = (F.when((F.col("asset_class") == "equity") & F.col("_ok").isNull(), "other")
            .otherwise(F.col("asset_class")))
     cols = [cls.alias("asset_class") if c == "asset_class" else F.col(c) for c in df.columns]
-    return df.join(listed, "company_id", "left").select(*cols)
+    key = spread_nulls(F.col("company_id"), *df.columns)
+    return (df.withColumn("_key", key).join(
+        listed.withColumnRenamed("company_id", "_key"), "_key", "left").select(*cols))
 
 
 def dedup_latest(df: DataFrame, key: tuple[str, ...] = NATURAL_KEY) -> DataFrame:

@@ -43,3 +43,12 @@ def pair_condition(a: str, b: str, key: list[str], member_a: str, member_b: str)
     for c in same:
         condition = condition & c
     return condition
+
+
+def spread_nulls(key: Column, *by: str) -> Column:
+    """Text key for a left join in which rows without a key go to many tasks.
+
+    A NULL key matches nothing but would send all its rows to one task; in its place
+    stands a hash of other columns behind a character that no real key starts with.
+    """
+    return F.coalesce(key, F.concat(F.lit("\u0000"), F.xxhash64(*by).cast("string")))

@@ -367,6 +367,11 @@ _ORACLE: dict[str, str] = {
     "candle_conform": "SELECT 'S' || lpad(CAST(l_suppkey AS VARCHAR), 10, '0') AS isin, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, "
                       "p AS open, p AS high, p AS low, p AS close, CASE WHEN l_orderkey % 10 <> 0 THEN l_quantity END AS volume "
                       "FROM (SELECT *, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS p FROM lineitem)",
+    "page_links": "WITH found AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS site, regexp_extract(url, '^[a-z]+:') AS scheme, regexp_replace(url, '[?#].*$', '') AS bare, "
+                  "regexp_replace(url, '#.*$', '') AS whole, unnest(list_distinct(regexp_extract_all(html, '(?i)href=[\"'']([^\"'']+)[\"'']', 1))) AS href FROM pages) "
+                  "SELECT DISTINCT page_id, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN scheme || href "
+                  "WHEN starts_with(href, '#') THEN whole || href WHEN starts_with(href, '?') THEN bare || href WHEN starts_with(href, '/') THEN site || href "
+                  "ELSE regexp_replace(bare, '[^/]*$', '') || href END AS link FROM found",
     "snapshot_read": "WITH r AS (SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) - (SELECT min(year(o_orderdate)) FROM orders) + 1 AS INT) AS snapshot_id FROM orders) "
                      "SELECT * FROM r WHERE snapshot_id BETWEEN (CASE WHEN EXISTS (SELECT 1 FROM r WHERE snapshot_id = 4) THEN 4 ELSE 0 END) AND 6",
     "isin_validate": "WITH b AS (SELECT c_custkey AS k, 'INE' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || (c_custkey % 10) AS s FROM customer), "
@@ -381,7 +386,7 @@ _ORACLE: dict[str, str] = {
               "FROM (SELECT l_orderkey, l_linenumber, (l_orderkey + l_linenumber) % 6 AS k, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS p FROM lineitem)",
     "asset_classify": "SELECT p_partkey, CASE k WHEN 0 THEN 'debt' WHEN 1 THEN 'cash' WHEN 2 THEN 'derivative' WHEN 4 THEN 'debt' WHEN 5 THEN 'equity' WHEN 6 THEN 'debt' "
                       "ELSE CASE WHEN p_size > 10 THEN 'equity' ELSE 'other' END END AS asset_class FROM (SELECT p_partkey, p_size, p_partkey % 8 AS k FROM part)",
-    "pii_redact": "SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, "
+    "pii_redact": "SELECT doc_id, CAST(length(t) AS INT) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, "
                   "regexp_replace(regexp_replace(regexp_replace(text || CASE doc_id % 3 WHEN 0 THEN chr(10) || 'PAN ABCDE1234F, Folio No: 55/7 ' WHEN 1 THEN chr(10) || 'mail a.b+c@d-e.example!' ELSE '' END, "
                   "'\\b[A-Z]{{5}}[0-9]{{4}}[A-Z]\\b', '[PAN REDACTED]', 'g'), "
                   "'[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_.+-]*@[\\p{{L}}\\p{{N}}_-]+\\.[\\p{{L}}\\p{{N}}_.]*[\\p{{L}}\\p{{N}}_]', '[EMAIL REDACTED]', 'g'), "

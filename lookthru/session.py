@@ -6,9 +6,6 @@ session handed over by a cluster is used exactly as it comes.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -28,17 +25,3 @@ def build_session(app: str = "lookthru", master: str | None = None,
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the one the cluster names.
-
-    A machine-local folder is made only where no cluster setting exists and the
-    master is local, as in tests.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix=f"lookthru-{os.getpid()}-")
-    raise ValueError("set spark.checkpoint.dir to a folder all executors share")

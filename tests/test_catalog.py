@@ -37,7 +37,7 @@ def test_query_equals_its_sql(spark, data, con, name):
 
 def test_every_sql_has_a_query_and_entry_runs(spark):
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"file_manifest", "page_links", "tick_replay"}
+    assert set(queries()) - set(oracle_sql()) == {"file_manifest", "tick_replay"}
     assert entry(spark).count() > 0
 
 

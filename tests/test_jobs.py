@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lookthru import schemas
 from lookthru.operators import overlap, quality, risk
 from lookthru.plans import pipeline
-from lookthru.sources import generate, market, sinks, versioned
+from lookthru.sources import files, generate, market, sinks, versioned
 from lookthru.streaming import ticks
 
 MONTH = dt.date(2026, 6, 1)
@@ -198,6 +198,30 @@ def test_instruments(spark):
     assert {(r.isin, r.smartapi_token) for r in market.instrument_dim(inst, comp).collect()} == {("I1", "1"), ("I2", None)}
 
 
+def test_manifest_finds_copies_and_missing_files(spark, tmp_path):
+    for name, text in (("a 1.csv", "x"), ("b.csv", "x"), ("c.csv", "yy")):
+        (tmp_path / name).write_text(text)
+    want = spark.createDataFrame([("a 1.csv",), ("gone.csv",)], "file string")
+    m = files.file_manifest(spark, str(tmp_path), want)
+    got = {r.file: (r.status, r.bytes, r.copies) for r in m.collect()}
+    assert got == {"a 1.csv": ("landed", 1, 2), "b.csv": ("landed", 1, 2), "c.csv": ("landed", 2, 1),
+                   "gone.csv": ("failed", 0, 0)}
+    row = only(files.manifest_totals(m.withColumn("month", F.lit("2026-06")), "month"))
+    assert (row.landed, row.failed, row.total_bytes) == (3, 1, 4)
+
+
+def test_month_spine(spark):
+    got = [r.month for r in files.month_spine(spark, dt.date(2025, 11, 20), dt.date(2026, 2, 1)).collect()]
+    assert got == [dt.date(2025, 11, 1), dt.date(2025, 12, 1), dt.date(2026, 1, 1), dt.date(2026, 2, 1)]
+
+
+def test_rows_without_a_key_are_spread(spark):
+    from lookthru.operators.tiles import spread_nulls
+    df = spark.range(1000).select(F.when(F.col("id") < 3, F.lit("k")).alias("k"), "id")
+    keys = df.select(spread_nulls(F.col("k"), "id").alias("s")).groupBy("s").count().collect()
+    assert len(keys) == 998 and {r["count"] for r in keys if r.s == "k"} == {3}
+
+
 def stop_clean(*queries):
     for q in queries:
         q.awaitTermination()
