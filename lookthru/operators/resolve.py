@@ -13,15 +13,6 @@ SCHEME_THRESHOLD = 82.0
 ANY_BLOCK = "*"
 
 
-def _keyed(names: DataFrame, prefix: str, threshold: float) -> DataFrame:
-    """Names with their words sorted, one row per match key."""
-    words = sim.sort_words(F.col("n"))
-    keep = [F.col(c) for c in names.columns if c != "n"]
-    return names.select(*keep, F.col("n").alias(f"{prefix}n"), words.alias(f"{prefix}s"),
-                        F.explode(F.array_union(F.array(F.concat(F.lit("="), words)),
-                                                sim.match_keys(words, threshold))).alias("_key"))
-
-
 def best_match(names: DataFrame, choices: DataFrame, threshold: float,
                blocked: bool = False) -> DataFrame:
     """Best choice at or above the threshold for each name, exactly, without all pairs.
@@ -33,12 +24,17 @@ def best_match(names: DataFrame, choices: DataFrame, threshold: float,
     """
     where = ["block"] if blocked else []
     words = sim.sort_words(F.col("n"))
-    equal = (names.withColumn("_s", words).join(
-        choices.withColumn("_s", words).groupBy(*where, "_s").agg(F.min("n").alias("match")),
-        [*where, "_s"]).select("n", F.lit(1.0).alias("score"), "match"))
-    # Names with equal words are done; most spelling variants end here.
-    left = _keyed(names.join(equal, "n", "left_anti"), "l_", threshold)
-    right = _keyed(choices, "r_", threshold)
+    same = F.concat(F.lit("="), F.col("_s"))
+    keys = sim.match_keys(F.col("_s"), threshold)
+    right = choices.withColumn("_s", words).select(
+        *where, F.col("n").alias("r_n"), F.col("_s").alias("r_s"),
+        F.explode(F.array_union(F.array(same), keys)).alias("_key"))
+    # A name with the same words as a choice needs no other key: most spelling variants
+    # end here, and the names are read only once.
+    known = choices.select(*where, words.alias("_s"), F.lit(True).alias("_eq")).distinct()
+    left = names.withColumn("_s", words).join(known, [*where, "_s"], "left").select(
+        *where, F.col("n").alias("l_n"), F.col("_s").alias("l_s"),
+        F.explode(F.when(F.col("_eq"), F.array(same)).otherwise(keys)).alias("_key"))
     on = ["_key", *where]
     la, lb = F.length("l_s"), F.length("r_s")
     t = F.lit(threshold)
@@ -53,8 +49,8 @@ def best_match(names: DataFrame, choices: DataFrame, threshold: float,
     best = pairs.groupBy(F.col("l_n").alias("n")).agg(
         F.min(F.struct(worse.alias("worse"), F.col("r_n").alias("match"))).alias("b"))
     score = -F.col("b.worse")
-    return equal.unionByName(best.filter(score * 100 >= threshold - 1e-9).select(
-        "n", score.alias("score"), F.col("b.match").alias("match")))
+    return best.filter(score * 100 >= threshold - 1e-9).select(
+        "n", score.alias("score"), F.col("b.match").alias("match"))
 
 
 def resolve_names(names: DataFrame, companies: DataFrame,
