@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lookthru.llm import quality, simhash
+from lookthru.llm import decontaminate, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,11 @@ def op6_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op6_simhash(_table(spark, sf_dir, "documents"))
 
 
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op10_winnowing(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quality_mcd, op6_simhash_links)}
+    op1_quality_mcd, op6_simhash_links, op10_winnowing)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op10_winnowing": decontaminate.ORACLE}

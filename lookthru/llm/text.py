@@ -101,11 +101,11 @@ class Words:
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words that start at each word; the last k - 1 places are left out."""
     n = max(0, len(hashes) - k + 1)
-    out = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i:i + n])
-    return out
+    out, odd = np.full(n, k, np.uint64), 1
+    for i in range(k):
+        odd = odd * 0x9E3779B97F4A7C15 % (1 << 64)
+        out += hashes[i:i + n] * np.uint64(odd)
+    return mix(out)
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
