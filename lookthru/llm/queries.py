@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lookthru.llm import decontaminate, quality, simhash
+from lookthru.llm import decontaminate, private_data, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op1_quality(_table(spark, sf_dir, "documents"))
 
 
+def op2_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.op2_private_data(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op6_simhash(_table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,6 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quality_mcd, op6_simhash_links, op10_winnowing)}
+    op1_quality_mcd, op2_skip_chain_crf, op6_simhash_links, op10_winnowing)}
 
 ORACLE: dict[str, str] = {"op10_winnowing": decontaminate.ORACLE}
