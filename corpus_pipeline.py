@@ -5,9 +5,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lookthru.llm import quality, simhash
+from lookthru.llm import decontaminate, pieces, private_data, quality, simhash
 from lookthru.llm.shared import stored
 
 
@@ -21,7 +22,23 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
-STAGES = [("quality rules", good), ("near duplicates", single)]
+def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with private data replaced by its kind; n_chars is that of the new text."""
+    return private_data.redact(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens, round_trip."""
+    return pieces.op4_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [("quality rules", good), ("near duplicates", single), ("decontamination", unseen), ("private data", private),
+          ("encoding", encoded)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
