@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lookthru.llm import decontaminate, pieces, private_data, quality, simhash
+from lookthru.llm import decontaminate, pieces, private_data, quality, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.op4_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.op5_token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op6_simhash(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quality_mcd, op2_skip_chain_crf, op4_streaming_viterbi, op6_simhash_links, op10_winnowing)}
+    op1_quality_mcd, op2_skip_chain_crf, op4_streaming_viterbi, op5_token_counts,
+    op6_simhash_links, op10_winnowing)}
 
 ORACLE: dict[str, str] = {"op10_winnowing": decontaminate.ORACLE}
