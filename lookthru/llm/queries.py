@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lookthru.llm import decontaminate, pieces, private_data, quality, simhash, token_counts
+from lookthru.llm import decontaminate, hosts, pieces, private_data, quality, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.op2_private_data(_table(spark, sf_dir, "documents"))
 
 
+def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.op3_hosts(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
 def op4_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.op4_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -39,7 +43,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quality_mcd, op2_skip_chain_crf, op4_streaming_viterbi, op5_token_counts,
+    op1_quality_mcd, op2_skip_chain_crf, op3_host_reputation, op4_streaming_viterbi, op5_token_counts,
     op6_simhash_links, op10_winnowing)}
 
 ORACLE: dict[str, str] = {"op10_winnowing": decontaminate.ORACLE}
