@@ -17,30 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lookthru.llm.shared import spare
-from lookthru.llm.text import NOT_WORD, Words, grams, mix, slices
+from lookthru.llm.text import NOT_WORD, Words, grams, mix, slices, winnow
 
 SPAN = 10
 K = 5
 MAP_BITS = 1 << 22
 
 
-def winnow(gram: np.ndarray, words_left: np.ndarray, width: int, k: int) -> np.ndarray:
-    """Places of the kept k-grams. words_left: words from each place to the end of its text."""
-    n = len(gram) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    low = gram[:n].copy()
-    for i in range(1, width):
-        np.minimum(low, gram[i:i + n], out=low)
-    open_ = words_left[:n] >= width + k - 1
-    kept = np.zeros(len(gram), bool)
-    for i in reversed(range(width)):
-        here = open_ & (gram[i:i + n] == low)
-        kept[i:i + n] |= here
-        open_ &= ~here
-    return np.flatnonzero(kept)
-
-
 def _kept(words: Words, lengths: list[int]) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(k, places, hashes) of the long windows and of each short length."""
     hashes = words.hashes()
