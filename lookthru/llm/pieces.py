@@ -18,8 +18,8 @@ a boundary on which all paths meet, and equal words between boundaries are encod
 from __future__ import annotations
 
 import hashlib
-from collections import deque
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from lookthru.llm.text import slices
 
 BLANK = "▁"
-MEMO_WORDS = 300_000   # encoded words that a task remembers; the memory is emptied beyond
+BLOCK = 256            # characters by which the lattice grows
+MEMO_WORDS = 400_000   # encoded words after which a task's memory of them starts anew
 MEMO_PAIRS = 1_000_000
 UNKNOWN_PENALTY = 10.0
 
@@ -103,8 +104,21 @@ def load(path: str) -> Model:
 class Encoder:
     def __init__(self, model: Model):
         self.model = model
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words = _Memo(self)
+        #: Ends of pieces, with the piece's id, or -1 if no piece is like that. What isn't here ends no piece.
+        self.tails: dict[str, int] = {}
+        for text in model.ids:
+            for i in range(len(text)):
+                self.tails.setdefault(text[i:], -1)
+        self.tails.update(model.ids)
+        self.odd: dict[str, int] = {}
+        self.pairs: dict[int, bool] = {}
+        self.cut = _boundaries(model)
+        self.parts = _Memo(lambda text: tuple(self.ids(self.pieces(_blocks(text)))))
+        self.words = _Memo(self._word)  # each behind one blank that is not part of the key
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        parts = self.cut.split(BLANK + word)
+        return self.parts[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable(map(self.parts.__getitem__, parts)))
 
     def _merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging the best neighbours first."""
@@ -120,69 +134,83 @@ class Encoder:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _follows(self, a: str, b: str) -> bool:
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) > MEMO_PAIRS:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self._merged(a + b) == ([a, b] if a else [b])
+    def _follows(self, key: int, before: str, piece: str) -> bool:
+        if len(self.pairs) > MEMO_PAIRS:
+            self.pairs.clear()
+        got = self.pairs[key] = self._merged(before + piece) == ([before, piece] if before else [piece])
         return got
 
-    def pieces(self, chars: Iterable[str]) -> Iterator[str]:
-        """The pieces of a normalised text that arrives character by character, each as soon as it is sure.
-
-        ``length[i]`` is the length of the last piece of the best path to place ``begin + i``.
-        """
-        model, longest = self.model, self.model.longest
-        window, length, score, begin, end = "", deque([0]), deque([0.0]), 0, 0
-        for char in chars:
-            window += char
-            end += 1
-            n = end - begin
-            if model.bpe:
-                for size in range(min(n, longest), 0, -1):
-                    piece = window[n - size:n]
-                    if piece not in model.ids and size > 1:
-                        continue
-                    last = length[n - size]
-                    if self._follows(window[n - size - last:n - size] if last else "", piece):
-                        length.append(size)
+    def _grow_bpe(self, window: str, start: int, length: list[int], last: list[int]) -> None:
+        """Backpointers (length of the last piece) of the places after ``start``, and the last piece's number: its id, or one of
+        ``odd`` for a character that is no piece; -1 where the text begins."""
+        tails, pairs, odd = self.tails, self.pairs, self.odd
+        for end in range(start + 1, len(window) + 1):
+            for at in range(end - 1, -1, -1):
+                piece = window[at:end]
+                got = tails.get(piece)
+                if got is None or got < 0:
+                    if at == end - 1:
+                        number = odd.setdefault(piece, len(self.model.texts) + len(odd))
+                    elif got is None:
                         break
-                else:
-                    raise AssertionError("every place has a last piece")
-                score.append(0.0)
-            else:
-                best, choice = None, 1
-                for size in range(min(n, longest), 0, -1):
-                    piece = model.ids.get(window[n - size:n])
-                    if piece is None and size > 1:
+                    else:
                         continue
-                    total = score[n - size] + (model.floor if piece is None else model.scores[piece])
-                    if best is None or total > best:
-                        best, choice = total, size
-                length.append(choice)
-                score.append(best)
-            if n >= 4 * longest:  # try to commit: follow all open places back until one is left
-                open_ = set(range(n - longest + 1, n + 1))
-                while len(open_) > 1:
-                    last = max(open_)
-                    open_.remove(last)
-                    open_.add(last - length[last])
-                cut = open_.pop()
-                if cut > longest:  # one piece stays before the cut: the next one must be able to follow it
-                    keep = cut - length[cut]
-                    yield from self._path(window, length, keep)
-                    window, begin = window[keep:], begin + keep
-                    for _ in range(keep):
-                        length.popleft()
-                        score.popleft()
-                    length[0] = 0
-                    base = score[0]
-                    score = deque(x - base for x in score)
-        yield from self._path(window, length, end - begin)
+                else:
+                    number = got
+                before = last[at]
+                key = before << 24 | number
+                fits = pairs.get(key)
+                if fits is None:
+                    fits = self._follows(key, window[at - length[at]:at], piece)
+                if fits:
+                    length.append(end - at)
+                    last.append(number)
+                    break
+            if len(length) != end + 1:
+                raise AssertionError("every place has a last piece")
+
+    def _grow_unigram(self, window: str, start: int, length: list[int], score: list) -> None:
+        """Backpointers and scores of the places after ``start``; of equal scores the longer piece wins."""
+        tails, scores, floor = self.tails, self.model.scores, self.model.floor
+        for end in range(start + 1, len(window) + 1):
+            best, size = score[end - 1] + floor, 1
+            for at in range(end - 1, -1, -1):
+                got = tails.get(window[at:end])
+                if got is None:
+                    break
+                if got >= 0 and score[at] + scores[got] >= best:
+                    best, size = score[at] + scores[got], end - at
+            length.append(size)
+            score.append(best)
+
+    def pieces(self, blocks: Iterable[str]) -> Iterator[str]:
+        """The pieces of a normalised text that arrives in blocks, each piece as soon as it is sure.
+
+        ``length[i]`` is the length of the last piece on the best path to place i of the window.
+        """
+        longest = self.model.longest
+        grow, state = (self._grow_bpe, [-1]) if self.model.bpe else (self._grow_unigram, [0.0])
+        window, length = "", [0]
+        for block in blocks:
+            start = len(window)
+            window += block
+            grow(window, start, length, state)
+            end = len(window)
+            if end < 4 * longest:
+                continue
+            open_ = set(range(end - longest + 1, end + 1))  # places where a later piece may begin: follow them back
+            while len(open_) > 1:
+                place = max(open_)
+                open_.remove(place)
+                open_.add(place - length[place])
+            keep = (cut := open_.pop()) - length[cut]  # the piece before the cut stays: it decides what may follow
+            if keep > 0:
+                yield from self._path(window, length, keep)
+                window, length, state = window[keep:], [0, *length[keep + 1:]], state[keep:]
+        yield from self._path(window, length, len(window))
 
     @staticmethod
-    def _path(window: str, length: deque, place: int) -> list[str]:
+    def _path(window: str, length: list[int], place: int) -> list[str]:
         out = []
         while place:
             out.append(window[place - length[place]:place])
@@ -207,10 +235,10 @@ class Encoder:
         if not text:
             return np.zeros(0, np.int32)
         if not model.by_words or (not model.byte_fallback):
-            return np.fromiter(self.ids(self.pieces(text)), np.int32)
+            return np.fromiter(self.ids(self.pieces(_blocks(text))), np.int32)
         words = text.split(BLANK)
         head = words.pop(0)  # before the first blank
-        ids = self.ids(self.pieces(head)) if head else ()
+        ids = self.ids(self.pieces(_blocks(head))) if head else ()
         if "" in words:  # a run of blanks belongs to the word behind it
             joined, run = [], ""
             for word in words[:-1]:
@@ -223,37 +251,69 @@ class Encoder:
         return np.fromiter(chain(ids, chain.from_iterable(map(self.words.__getitem__, words))), np.int32)
 
 
+def _boundaries(model: Model) -> re.Pattern:
+    """Places inside of words that no piece reaches across: around line breaks and tabs that are in no piece, and
+    between a letter or digit and a sign that doesn't follow it in any piece."""
+    pieces = "\x00".join(model.ids)
+    none = "".join(c for c in "\n\t\r" if c not in pieces)
+    behind: dict[str, str] = {}
+    for letter, sign in set(re.findall(r"(?s)([^\W_])(?=([^\w\x00]))", pieces)):
+        behind[sign] = behind.get(sign, "") + letter
+    signs = [c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "_"]
+    free = "".join(c for c in signs if c not in behind)
+    sides = [f"(?<=[^\\W_])(?=[{re.escape(free)}])"] if free else []
+    sides += [f"(?<=[^\\W_])(?<![{behind[c]}])(?={re.escape(c)})" for c in signs if c in behind]
+    sides += [f"(?<=[{none}])|(?=[{none}])"] if none else []
+    return re.compile("|".join(sides) or r"(?!)")
+
+
+def _blocks(text: str) -> Iterator[str]:
+    return (text[i:i + BLOCK] for i in range(0, len(text), BLOCK))
+
+
 class _Memo(dict):
-    """Ids of words, each behind one blank that is not part of the key."""
+    """Ids by text. When full, it starts anew but takes over again what it held before and meets once more, so that
+    frequent texts stay."""
 
-    def __init__(self, encoder: Encoder):
+    def __init__(self, make: Callable[[str], tuple[int, ...]]):
         super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.encoder.ids(self.encoder.pieces(BLANK + word)))
-        if len(word) <= 64:
-            self[word] = ids
+        self.make, self.before = make, {}
+
+    def trim(self) -> None:
+        if len(self) > MEMO_WORDS:
+            self.before = dict(self)
+            self.clear()
+
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        ids = self.before.get(text)
+        if ids is None:
+            ids = self.make(text)
+        if len(text) <= 64:
+            self[text] = ids
         return ids
 
 
 class Decoder:
     def __init__(self, model: Model):
         self.model = model
-        self.table = [" " + t[1:].replace(BLANK, " ") if t.startswith(BLANK) else t.replace(BLANK, " ") for t in model.texts]
+        self.table = [t.replace(BLANK, " ") for t in model.texts]
         for i, kind in enumerate(model.kinds):
             if kind == 3:
                 self.table[i] = ""
             elif kind == 2:
                 self.table[i] = " ⁇ "
         self.byte = {i: b for b, i in model.bytes.items()}
+        self.table_bytes = np.zeros(len(self.table), bool)   # bytes beyond ASCII, that only make sense together
+        for i, b in self.byte.items():
+            self.table[i] = chr(b)
+            self.table_bytes[i] = b > 127
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become the replacement character."""
-        if self.byte and len(ids) and np.isin(ids, np.fromiter(self.byte, np.int32)).any():
+        if self.table_bytes[ids].any():
             parts, held = [], bytearray()
             for i in ids.tolist():
-                if i in self.byte:
+                if self.table_bytes[i]:
                     held.append(self.byte[i])
                     continue
                 parts += [held.decode("utf-8", "replace"), self.table[i]]
@@ -273,8 +333,8 @@ def _coders(model: Model) -> tuple[Encoder, Decoder]:
         _KNOWN.clear()
         _KNOWN[model.name] = Encoder(model), Decoder(model)
     encoder, decoder = _KNOWN[model.name]
-    if len(encoder.words) > MEMO_WORDS:
-        encoder.words.clear()
+    encoder.words.trim()
+    encoder.parts.trim()
     return encoder, decoder
 
 
