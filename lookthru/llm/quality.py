@@ -14,6 +14,7 @@ large, is sampled, sorted or brought to one task; a task of the per-group part s
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -57,7 +58,9 @@ def _repeat_words(words: Words) -> np.ndarray:
     inside = inside[twice[at] == keys]  # by hash; now by the words themselves
     three = [words.raw[words.starts[i]:words.ends[i]] + b" " + words.raw[words.starts[i + 1]:words.ends[i + 1]]
              + b" " + words.raw[words.starts[i + 2]:words.ends[i + 2]] for i in inside.tolist()]
-    groups = pd.Series(three).groupby([doc[inside], np.array(three, object)], sort=False).transform("size").to_numpy()
+    keys = list(zip(doc[inside].tolist(), three))
+    seen = Counter(keys)
+    groups = np.array([seen[k] for k in keys])
     marked = np.zeros(len(doc), bool)
     for k in range(3):
         marked[inside[groups > 1] + k] = True

@@ -11,11 +11,10 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -80,6 +79,13 @@ def _chunks(text: str, special: regex.Pattern | None) -> list[str]:
     return [first, *map(" ".__add__, rest)] if first else [" " + x for x in rest]
 
 
+def _numbered(values: Iterable[str]) -> tuple[np.ndarray, list[str]]:
+    """A number for each value, and the distinct values in the order of their numbers."""
+    known: dict[str, int] = {}
+    numbers = np.fromiter((known.setdefault(v, len(known)) for v in values), np.int64)
+    return numbers, list(known)
+
+
 class _Block:
     """Texts gathered until a block is full."""
 
@@ -98,12 +104,11 @@ class _Block:
             self.parts += parts
 
     def rows(self, name: str) -> Iterator[tuple[int, str, object, object, bytes | None, bytes, bytes | None]]:
-        codes, chunks = pd.factorize(np.array(self.parts, object)) if self.parts else (np.zeros(0, np.int64), [])
+        codes, chunks = _numbered(self.parts)
         special = self.special
         cut = [[c] if special is not None and special.fullmatch(c) else _PRE.findall(c) for c in chunks]
         sizes = np.array([len(c) for c in cut], np.int64)
-        flat = list(chain.from_iterable(cut))
-        inner, tokens = pd.factorize(np.array(flat, object)) if flat else (np.zeros(0, np.int64), [])
+        inner, tokens = _numbered(chain.from_iterable(cut))
         starts = np.cumsum(sizes) - sizes
         doc = np.repeat(np.arange(len(self.counts)), self.counts)
         own = sizes[codes]
