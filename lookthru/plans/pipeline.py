@@ -15,77 +15,110 @@ from ..sources.grid import cell_grid
 WAREHOUSE = ("silver_holdings", "dim_scheme", "dim_company", "fact_price")
 
 
+OUTSIDE = "outside the asked months"
+
+
 class NothingParsed(RuntimeError):
     """No file, or no row in any file, could be read."""
 
 
+def silver_of(bronze: DataFrame, companies: DataFrame, actions: DataFrame | None = None,
+              as_of: dt.date | None = None) -> DataFrame:
+    """Silver of all given bronze rows, of however many runs: the latest parse per key.
+
+    With actions, quantities are restated to ``as_of``.
+    """
+    silver = resolve.build_silver(bronze, companies)
+    return silver if actions is None else adjust_holdings(silver, actions, as_of or dt.date.today())
+
+
 def ingest(grid: DataFrame, companies: DataFrame, months: DataFrame, run_id: str,
            parsed_at: dt.datetime, actions: DataFrame | None = None, as_of: dt.date | None = None,
            adapters: tuple[Adapter, ...] = ADAPTERS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(bronze, silver, file status) of any number of files and months in one plan.
 
-    ``months`` gives the disclosure month of each source_file; a file without one is not
-    ingested. With actions, silver carries quantities restated to ``as_of``.
+    ``months`` gives the disclosure month of each source_file, and may give a reason why a
+    file is left out. A file that is left out or has no month gives no rows, and its
+    status says so.
     """
     bronze, status = parse_disclosures(grid, dt.date(1970, 1, 1), run_id, parsed_at, adapters)
     cols = bronze.columns
+    if "left_out" not in months.columns:
+        months = months.withColumn("left_out", F.lit(None).cast("string"))
+    months = months.select("source_file", "disclosure_month", F.coalesce(
+        "left_out", F.when(F.col("disclosure_month").isNull(), "no month")).alias("left_out"))
     dated = (bronze.drop("disclosure_month").join(
-        months.select("source_file", "disclosure_month"), "source_file").select(*cols))
-    silver = resolve.build_silver(dated, companies)
-    if actions is not None:
-        silver = adjust_holdings(silver, actions, as_of or dt.date.today())
-    return dated, silver, status
-
-
-def month_of_file(grid: DataFrame, month: dt.date | None = None) -> DataFrame:
-    """Month of each file: the given one, or the yyyymm in its name."""
+        months.filter("left_out is null").select("source_file", "disclosure_month"), "source_file").select(*cols))
+    told = status.join(months, "source_file", "left").withColumn(
+        "left_out", F.when(F.col("disclosure_month").isNull(), F.coalesce("left_out", F.lit("no month")))
+        .otherwise(F.col("left_out")))
+    told = told.select(
+        *[c for c in status.columns if c not in ("status", "reason")],
+        F.when(F.col("left_out") == OUTSIDE, "skipped").when(F.col("left_out").isNotNull(), "quarantined")
+        .otherwise(F.col("status")).alias("status"), F.coalesce("left_out", "reason").alias("reason"), "disclosure_month")
+    return dated, silver_of(dated, companies, actions, as_of), told
+
+
+def month_of_file(grid: DataFrame, month: dt.date | None = None, start: dt.date | None = None,
+                  end: dt.date | None = None) -> DataFrame:
+    """Month of each file, the given one or the yyyymm in its name, and why it is left out
+    (no month, or outside of ``start`` to ``end``)."""
     files = grid.select("source_file").distinct()
     named = F.try_to_date(F.concat(F.regexp_extract("source_file", r"(\d{6})(?=\D*$)", 1), F.lit("01")),
                           "yyyyMMdd")
-    return files.select("source_file", (named if month is None else F.lit(month)).alias(
-        "disclosure_month"))
+    out = files.select("source_file", (named if month is None else F.lit(month)).alias("disclosure_month"))
+    m = F.col("disclosure_month")
+    outside = (m < F.lit(start) if start is not None else F.lit(False)) | (
+        m > F.lit(end) if end is not None else F.lit(False))
+    return out.withColumn("left_out", F.when(m.isNull(), "no month").when(outside, OUTSIDE))
 
 
 def run_files(spark: SparkSession, src: str, out: str, companies: DataFrame, run_id: str,
               parsed_at: dt.datetime, month: dt.date | None = None,
-              start: dt.date | None = None, end: dt.date | None = None,
-              strict: bool = True) -> dict[str, int]:
+              start: dt.date | None = None, end: dt.date | None = None, strict: bool = True,
+              actions: DataFrame | None = None, as_of: dt.date | None = None) -> dict[str, int]:
     """Ingest a folder: one month, or with no month all months found in the file names.
 
-    Bronze, silver, file status and quarantined scheme-months are written by month, so a
-    month can be run again alone, and a failing scheme-month does not hold up others.
+    Bronze and file status are kept by month and run, so a run adds to what others left and
+    only replaces itself. Silver of the touched months is then built from all their bronze
+    rows: a refiled scheme replaces its own rows and leaves all others. Scheme-months that
+    fail a gate are kept per month and judging run and do not hold up others.
     """
     grid = cell_grid(spark, src)
-    months = month_of_file(grid, month).filter(F.col("disclosure_month").isNotNull())
-    if start is not None:
-        months = months.filter(F.col("disclosure_month") >= F.lit(start))
-    if end is not None:
-        months = months.filter(F.col("disclosure_month") <= F.lit(end))
+    months = month_of_file(grid, month, start, end)
     bronze, _, status = ingest(grid, companies, months, run_id, parsed_at)
     # Silver is read back from the written bronze, so files are parsed once.
-    sinks.write_by_month(bronze, f"{out}/bronze_holdings")
-    written = spark.read.parquet(f"{out}/bronze_holdings").filter(F.col("ingestion_run_id") == run_id)
-    silver = resolve.build_silver(written.select(*bronze.columns), companies)
+    sinks.write_by(bronze, f"{out}/bronze_holdings", "disclosure_month", "ingestion_run_id")
+    sinks.write_by(status, f"{out}/file_status", "disclosure_month", "run_id")
+    every = spark.read.schema(bronze.schema).parquet(f"{out}/bronze_holdings")
+    mine = F.col("ingestion_run_id") == run_id
+    touched = every.filter(mine).select("disclosure_month").distinct()
+    silver = silver_of(every.join(F.broadcast(touched), "disclosure_month", "left_semi").select(*bronze.columns),
+                       companies, actions, as_of)
     good, bad = quality.promotable(silver) if strict else (silver, None)
     sinks.write_by_month(good, f"{out}/silver_holdings")
-    counts = {"files": sinks.write_counted(status, f"{out}/file_status"),
-              "silver_rows": spark.read.parquet(f"{out}/silver_holdings").filter(
-                  F.col("ingestion_run_id") == run_id).count()}
+    told = spark.read.schema(status.schema).parquet(f"{out}/file_status").filter(F.col("run_id") == run_id)
+    counts = {"files": told.count(),
+              "silver_rows": spark.read.schema(good.schema).parquet(f"{out}/silver_holdings").filter(mine).count()}
     if bad is not None:
-        counts["quarantined_rows"] = sinks.write_counted(bad, f"{out}/quarantine_holdings")
-    if counts["silver_rows"] + counts.get("quarantined_rows", 0) == 0:
+        sinks.write_by(bad.withColumn("judged_by", F.lit(run_id)), f"{out}/quarantine_holdings",
+                       "disclosure_month", "judged_by")
+        counts["quarantined_rows"] = spark.read.schema(bad.withColumn("judged_by", F.lit(run_id)).schema).parquet(
+            f"{out}/quarantine_holdings").filter(F.col("judged_by") == run_id).count()
+    if every.filter(mine).isEmpty():
         raise NothingParsed(f"no rows parsed from {src}")
     return counts
 
 
 def gold(holdings: DataFrame, schemes: DataFrame, companies: DataFrame, prices: DataFrame,
          benchmark: DataFrame, as_of: dt.date, caps: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The thirteen published tables as lazy DataFrames."""
+    """The thirteen published tables as lazy DataFrames. Overlap is the sparse table of pairs that share a company; the
+    square matrix is made for the schemes one asks for (``overlap.overlap_full``)."""
     crowd = marts.crowding(holdings, schemes, companies)
     dtl = marts.days_to_liquidate(crowd, prices)
     return {
         "holdings": overlap.in_month(holdings), "holdings_history": holdings, "schemes": schemes,
-        "companies": companies, "prices": prices, "overlap": overlap.overlap_full(holdings, schemes),
+        "companies": companies, "prices": prices, "overlap": overlap.overlap_pairs(holdings),
         "active_share": marts.active_share(holdings, benchmark, schemes),
         "style_drift": marts.style_drift(holdings, companies if caps is None else caps,
                                          effective_dated=caps is not None),

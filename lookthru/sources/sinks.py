@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from ..schemas import assert_readable, conform
 
 
-def write_by_month(df: DataFrame, path: str, month: str = "disclosure_month") -> None:
-    """Write one folder per month; months not in ``df`` stay as they are.
+def write_by(df: DataFrame, path: str, *keys: str) -> None:
+    """Write one folder per value of ``keys``; folders of values not in ``df`` stay as they are.
 
-    Rebalance rather than repartition: rows of a month come together, but a month far
+    Rebalance rather than repartition: rows of a folder come together, but one far
     larger than the rest is split over several tasks and files.
     """
-    (assert_readable(conform(df)).hint("rebalance", month).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(path))
+    (assert_readable(conform(df)).hint("rebalance", *keys).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
+
+
+def write_by_month(df: DataFrame, path: str, month: str = "disclosure_month") -> None:
+    write_by(df, path, month)
 
 
 def write_counted(df: DataFrame, path: str, fmt: str = "parquet") -> int:

@@ -8,7 +8,7 @@ from lookthru.operators import corporate, disclosure, resolve
 from lookthru.operators.ordered import fill_forward, with_previous, with_running_max
 from lookthru.plans import pipeline
 from lookthru.schemas import CELL_GRID
-from lookthru.sources import files, generate, grid, nav
+from lookthru.sources import files, generate, grid, nav, sinks
 
 MONTH, AT = dt.date(2026, 6, 1), dt.datetime(2026, 7, 12)
 
@@ -17,47 +17,40 @@ def company_rows(spark, n=12):
     return [(r.company_name, r.isin) for r in generate.sample_companies(spark).orderBy("isin").limit(n).collect()]
 
 
-def weights(n):
-    total = n * (n + 1) / 2
-    return [round(96.5 * k / total, 4) for k in range(n, 0, -1)]
+def shares(n, total):
+    """n falling weights in hundredths that add up to ``total``."""
+    parts = [round(total * 2 * (n - k) / (n * (n + 1)), 2) for k in range(n)]
+    return [round(parts[0] + total - sum(parts), 2), *parts[1:]]
 
 
 def write_files(spark, root):
-    rows = company_rows(spark)
-    w = weights(len(rows))
+    """One sheet per quirk: deep header, stacked schemes, text numbers, buried header, no identifier column, reordered columns."""
+    names = company_rows(spark)
 
     def put(name, lines):
         with open(os.path.join(root, name), "w", encoding="utf-8") as f:
             f.write("\n".join(lines))
 
-    put("bluewater_202606.csv",
-        ["Bluewater Mutual Fund", "Monthly Statement", "Bluewater Large Cap Fund", "As on 30-Jun-2026", "",
-         "Name of the Instrument,ISIN,Quantity,Market Value (Rs. in Lakhs),% to NAV"]
-        + [f"{n},{i},250000,{x * 1200:.2f},{x}" for (n, i), x in zip(rows, w)]
-        + ["TREPS / Cash & Net Receivables,,,4200.0,3.5", "Grand Total,,,120000.0,100.0"])
-    two = ["Northstar Asset Management"]
-    for title, part in (("Northstar Bluechip Fund", rows[:8]), ("Northstar Emerging Equity Fund", rows[4:12])):
-        two += [title, "Name of the Instrument,ISIN,Quantity,Market value,% to Net Assets"]
-        two += [f"{n},{i},180000,{x * 9e7:.2f},{x}" for (n, i), x in zip(part, weights(8))]
-        two += ["Cash & Cash Equivalent,,,3000.0,3.5", ""]
-    put("northstar_202606.csv", two)
-    put("meridian_202606.csv",
-        ["Meridian Multi Cap Fund - Monthly Portfolio", "", "Name of Instrument,ISIN,Qty,Market Value,% to NAV"]
-        + [f'{n},{i},"3,20,000","{x * 1100:,.2f}",{x}%' for (n, i), x in zip(rows, w)]
-        + ['Net Receivables / (Payables),-,,"3,500.00",3.5%', "", "Notes:", "1. As on the last day.", "* rounding"])
-    put("kaveri_202606.csv",
-        [f"Regulatory line {k}" for k in range(10)] + [""]
-        + ["Name of the Instrument,ISIN,No. of Shares,Market Value (Rs. in Crores),% to NAV"]
-        + [f"{n},{i},410000,{x * 12:.3f},{x}" for (n, i), x in zip(rows, w)] + ["TREPS,,,4.2,3.5"])
-    put("sentinel_202606.csv",
-        ["Sentinel Value Discovery Fund", "Portfolio", "", "Name of the Instrument,Industry,Quantity,Market Value,% to NAV"]
-        + [f"{n},Equity,275000,{x * 1000:.2f},{x}" for (n, _), x in zip(rows, w)]
-        + ["Cash and Other Receivables,,,3500.0,3.5"])
-    put("zenith_202606.csv",
-        ["% to NAV,Security Name,ISIN Code,Market Value (Rs Lakhs),Quantity"]
-        + [f"{x},{n.replace(' Ltd', ' Limited') if k % 3 == 0 else n.upper()},{'' if k % 4 == 0 else i},{x * 850:.2f},190000"
-           for k, ((n, i), x) in enumerate(zip(rows, w))] + ["3.5,Net Current Assets,,2975.0,"])
-    put("not_a_disclosure_202606.csv", ["hello,world", "1,2"])
+    deep = [f"{n},{i},{5000 + 7 * k},{w * 31:.1f},{w}" for k, ((n, i), w) in enumerate(zip(names, shares(12, 98)))]
+    put("bluewater_202606.csv", ["Half-page of legal text", "Tranquil Lake Equity Fund", "Position list", "", "Name of the Instrument,ISIN,Quantity,Market Value (Rs. in Lakhs),% to NAV",
+                                 *deep, "Cash at bank,,,62.0,2.0", "Total,,,3100.0,100.0"])
+    stacked = []
+    for title, part in (("Polar Night Savings Fund", names[:5]), ("Polar Day Growth Plan", names[5:12])):
+        stacked += [title, "Name of the Instrument,ISIN,Quantity,Market value,% to Net Assets"]
+        stacked += [f"{n},{i},{900 + k},{w * 2e6:.0f},{w}" for k, ((n, i), w) in enumerate(zip(part, shares(len(part), 99)))]
+        stacked += ["Cash margin with exchange,,,11.0,1.0", ""]
+    put("northstar_202606.csv", stacked)
+    texts = [f'{n},{i},"{12 + k},0{k % 10}5","{1000 * w:,.1f}", {w} %' for k, ((n, i), w) in enumerate(zip(names[:9], shares(9, 95.5)))]
+    put("meridian_202606.csv", ["Noon Line Balanced Scheme", "Name of Instrument,ISIN,Qty,Market Value,% to NAV", *texts,
+                                'Net payable,-,NIL,"4,500.0",4.5%', "Note: figures are not audited", "2. See the web page", "* provisional"])
+    buried = [f"{n},{i},{60 + k},{w / 4:.4f},{w}" for k, ((n, i), w) in enumerate(zip(names, shares(12, 97)))]
+    put("kaveri_202606.csv", [f"Circular {k}, page {k + 1}" for k in range(47)] + ["Name of the Instrument,ISIN,No. of Shares,Market Value (Rs. in Crores),% to NAV", *buried, "Repo,,,0.75,3.0"])
+    blind = [f"{n},Trade,{400 - k},{w * 500:.0f},{w}" for k, ((n, _), w) in enumerate(zip(names[2:], shares(10, 96)))]
+    put("sentinel_202606.csv", ["Watchtower Opportunities Fund", "Name of the Instrument,Industry,Quantity,Market Value,% to NAV", *blind, "Other receivables,,,2000,4.0"])
+    spelled = (lambda n: n.replace(" Ltd", " Limited"), str.lower, str.upper)
+    mixed = [f"{w},{spelled[k % 3](n)},{i if k % 2 else ''},{w * 40:.2f},{70 + k}" for k, ((n, i), w) in enumerate(zip(names[:11], shares(11, 94)))]
+    put("zenith_202606.csv", ["% to NAV,Security Name,ISIN Code,Market Value (Rs Lakhs),Quantity", *mixed, "6.0,Net current asset,,240.0,"])
+    put("shopping_list_202606.csv", ["item,price", "apples,3", "pears,4"])
 
 
 @pytest.fixture(scope="module")
@@ -77,24 +70,25 @@ def test_files_and_quarantine(parsed):
     bronze, status = parsed
     for name in ("bluewater", "northstar", "meridian", "kaveri", "sentinel", "zenith"):
         assert status[name].adapter == name and status[name].status == "parsed"
-    assert status["not_a_disclosure"].status == "quarantined"
-    assert bronze.filter("source_file like 'not_a%'").count() == 0
-    schemes = {(r.source_file.split("_")[0], r.scheme_name) for r in bronze.collect()}
+    assert status["shopping_list"].status == "quarantined"
+    assert bronze.filter("source_file like 'shopping%'").count() == 0
+    schemes = {(r.source_file.split("_")[0], r.scheme_name): r.n for r in bronze.groupBy("source_file", "scheme_name").agg(F.count("*").alias("n")).collect()}
     assert schemes == {
-        ("bluewater", "Bluewater Large Cap Fund"), ("northstar", "Northstar Bluechip Fund"),
-        ("northstar", "Northstar Emerging Equity Fund"), ("meridian", "Meridian Multi Cap Fund - Monthly Portfolio"),
-        ("kaveri", "kaveri_202606"), ("sentinel", "Sentinel Value Discovery Fund"), ("zenith", "zenith_202606")}
+        ("bluewater", "Tranquil Lake Equity Fund"): 13, ("northstar", "Polar Night Savings Fund"): 6,
+        ("northstar", "Polar Day Growth Plan"): 8, ("meridian", "Noon Line Balanced Scheme"): 10,
+        ("kaveri", "kaveri_202606"): 13, ("sentinel", "Watchtower Opportunities Fund"): 11, ("zenith", "zenith_202606"): 12}
 
 
 def test_weights_units_and_excluded_rows(parsed):
     bronze, _ = parsed
     sums = bronze.groupBy("scheme_name").agg(F.sum("weight_pct").alias("w")).collect()
-    assert all(abs(r.w - 100) < 0.5 for r in sums)
+    assert all(abs(r.w - 100) < 0.01 for r in sums)
     names = [r[0].lower() for r in bronze.select("instrument_name_raw").collect()]
-    assert not any("total" in n or n.startswith(("notes", "1.", "*")) for n in names)
-    top = {r[0].split("_")[0]: r[1] for r in bronze.filter("asset_class = 'equity'").groupBy("source_file")
-           .agg(F.max("market_value")).collect()}
-    assert top["kaveri"] > 1e8 and top["bluewater"] > 1e8
+    assert not any("total" in n or n.startswith(("note", "2.", "*")) for n in names)
+    value = {r[0].split("_")[0]: r[1] for r in bronze.filter("asset_class = 'equity'").groupBy("source_file")
+             .agg(F.sum("market_value")).collect()}
+    assert value["kaveri"] == pytest.approx(97 / 4 * 1e7, rel=1e-3) and value["bluewater"] == pytest.approx(98 * 31 * 1e5, rel=1e-3)
+    assert value["meridian"] == pytest.approx(95500) and value["zenith"] == pytest.approx(94 * 40 * 1e5)
 
 
 def test_every_equity_row_resolves(spark, parsed):
@@ -102,18 +96,69 @@ def test_every_equity_row_resolves(spark, parsed):
     equity = silver.filter("asset_class = 'equity'")
     assert equity.filter("company_id is null").count() == 0
     m = {r.resolution_method: r["rows"] for r in resolve.method_counts(equity).collect()}
-    assert m["isin"] >= 40 and m["fuzzy_name"] >= 10
+    assert m == {"isin": 12 + 12 + 9 + 12 + 5, "fuzzy_name": 10 + 6}
 
 
-def test_pipeline_over_a_folder(spark, src, tmp_path):
-    out = str(tmp_path / "lake")
+def sheet(root, name, rows, preamble=("Acme Growth Fund",)):
+    lines = [*preamble, "Name of Instrument,ISIN,Qty,Market Value,% to NAV", *(f"{n},{i},10,{w}00,{w}" for n, i, w in rows)]
+    with open(os.path.join(root, name), "w", encoding="utf-8") as f:
+        f.write("\n".join(lines))
+
+
+def runs_of(spark, path):
+    return spark.read.parquet(path)
+
+
+def test_runs_add_up_and_lose_nothing(spark, tmp_path):
     companies = generate.sample_companies(spark)
-    for _ in range(2):  # a second run of the month replaces it
-        counts = pipeline.run_files(spark, src, out, companies, "r1", AT)
-        assert counts["files"] == 7 and counts["quarantined_rows"] == 0
-        silver = spark.read.parquet(f"{out}/silver_holdings")
-        assert silver.count() == counts["silver_rows"] == 5 * 13 + 18
-    assert [r[0] for r in silver.select("disclosure_month").distinct().collect()] == [MONTH]
+    (n1, i1), (n2, i2) = company_rows(spark, 2)
+    first, second, out = tmp_path / "a", tmp_path / "b", str(tmp_path / "lake")
+    first.mkdir(), second.mkdir()
+    sheet(first, "alpha_202605.csv", [(n1, i1, 60), (n2, i2, 40)], ["Alpha Fund"])
+    sheet(first, "beta_202605.csv", [(n1, i1, 100)], ["Beta Fund"])
+    sheet(first, "gamma_202605.csv", [(n1, i1, 30)], ["Gamma Fund"])           # does not add up
+    sheet(first, "delta_202604.csv", [(n1, i1, 100)], ["Delta Fund"])
+    sheet(first, "nameless.csv", [(n1, i1, 100)], ["Nameless Fund"])           # no month
+    sheet(first, "old_201001.csv", [(n1, i1, 100)], ["Old Fund"])              # outside
+    when = lambda d: dt.datetime(2026, 7, d)
+    counts = pipeline.run_files(spark, str(first), out, companies, "001", when(1), start=dt.date(2026, 1, 1))
+    assert counts == {"files": 6, "silver_rows": 4, "quarantined_rows": 1}
+    status = {r.source_file: (r.status, r.reason) for r in runs_of(spark, f"{out}/file_status").collect()}
+    assert status["nameless.csv"] == ("quarantined", "no month") and status["old_201001.csv"][0] == "skipped"
+    assert status["alpha_202605.csv"] == ("parsed", None)
+    sheet(second, "alpha_202605.csv", [(n1, i1, 70), (n2, i2, 30)], ["Alpha Fund"])
+    actions = spark.createDataFrame([(i1, dt.date(2026, 6, 1), "split", 2.0, None, None)],
+                                    "isin string, ex_date date, action_type string, ratio double, new_isin string, note string")
+    counts = pipeline.run_files(spark, str(second), out, companies, "002", when(2), actions=actions, as_of=dt.date(2026, 7, 2))
+    assert counts["files"] == 1 and counts["silver_rows"] == 2
+    silver = {(r.scheme_name, r.company_id): r for r in sinks.read_months(spark, f"{out}/silver_holdings").collect()}
+    assert {k: r.weight_pct for k, r in silver.items()} == {
+        ("Alpha Fund", i1): 70.0, ("Alpha Fund", i2): 30.0, ("Beta Fund", i1): 100.0, ("Delta Fund", i1): 100.0}
+    assert silver["Beta Fund", i1].quantity_adjusted == 20.0 and silver["Alpha Fund", i2].quantity_adjusted == 10.0
+    assert runs_of(spark, f"{out}/file_status").count() == 7
+    assert runs_of(spark, f"{out}/bronze_holdings").count() == 7
+    bad = runs_of(spark, f"{out}/quarantine_holdings")
+    assert {r.scheme_name for r in bad.collect()} == {"Gamma Fund"} and bad.select("judged_by").distinct().count() == 2
+    pipeline.run_files(spark, str(second), out, companies, "002", when(3))       # a run replaces itself
+    assert runs_of(spark, f"{out}/file_status").count() == 7 and runs_of(spark, f"{out}/bronze_holdings").count() == 7
+    empty = tmp_path / "c"
+    empty.mkdir()
+    sheet(empty, "x.csv", [], ["hello"])
+    with pytest.raises(pipeline.NothingParsed):
+        pipeline.run_files(spark, str(empty), out, companies, "003", when(4))
+
+
+def test_headers_far_down_and_in_later_tables(spark):
+    head = ["Name of Instrument", "ISIN", "Qty", "Market Value", "% to NAV"]
+    rows = [("a_202601.csv", 0, i, [f"preamble {i}"]) for i in range(75)]
+    rows += [("a_202601.csv", 0, 20, ["Far Above Fund"]), ("a_202601.csv", 0, 75, head), ("a_202601.csv", 0, 76, ["Acme", "", "1", "1", "1"])]
+    rows = [r for r in rows if r[3] != ["preamble 20"]]
+    rows += [("b_202601.csv", 0, 0, ["cover"]), ("b_202601.csv", 1, 0, head), ("b_202601.csv", 1, 1, ["Acme", "", "1", "1", "1"])]
+    grid_ = spark.createDataFrame(rows, CELL_GRID)
+    bronze, status = disclosure.parse_disclosures(grid_, MONTH, "r", AT)
+    assert {r.source_file: r.status for r in status.collect()} == {"a_202601.csv": "parsed", "b_202601.csv": "parsed"}
+    assert {r.source_file: r.scheme_name for r in bronze.collect()} == {"a_202601.csv": "Far Above Fund", "b_202601.csv": "b_202601"}
+    assert disclosure.block_titles(grid_, reach=7).count() == 0
 
 
 def test_headers_flow_across_chunks_and_tables(spark, monkeypatch):
