@@ -11,7 +11,7 @@ from ..functions import cells as C, identifiers as idf
 from ..operators import corporate, disclosure, marts, overlap, portfolio, quality, resolve, risk
 from ..operators.statements import redacted, statement_holdings
 from ..schemas import conform
-from ..sources import files, generate, grid, market, nav, versioned
+from ..sources import files, grid, market, nav
 from ..streaming import ticks
 from . import feeds, views
 from .views import AS_OF
@@ -129,12 +129,17 @@ def page_links(spark, d):
 
 @query
 def file_manifest(spark, d):
-    return files.file_manifest(spark, d)
+    p = views.table(spark, d, "pages")
+    asked = p.select((F.col("page_id") + F.when(F.col("page_id") % 10 == 0, 1_000_000_000).otherwise(0)).cast("string").alias("file"))
+    return files.content_manifest(p.select(F.col("page_id").cast("string").alias("file"), F.encode("html", "UTF-8").alias("content")), asked)
 
 
 @query
 def snapshot_read(spark, d):
-    return versioned.snapshot_view(*feeds.snapshots(spark, d), 6)
+    rows, log = feeds.snapshots(spark, d)
+    upto = log.filter("snapshot_id <= 6")
+    base = upto.filter("operation = 'overwrite'").select(F.coalesce(F.max("snapshot_id"), F.lit(0))).scalar()
+    return rows.join(upto.filter(F.col("snapshot_id") >= base).select("snapshot_id"), "snapshot_id", "left_semi")
 
 
 # --- identifiers, names, cells ---------------------------------------------------
@@ -518,11 +523,6 @@ def tick_dedup(spark, d):
     return ticks.dedup_ticks(_ticks(spark, d)[0]).withColumn("event_time", stamp("event_time"))
 
 
-@query
-def tick_replay(spark, d):
-    return generate.replay_lines(feeds.base_ticks(spark, d))
-
-
 @query
 def recovery_diff(spark, d):
     good, bad = _ticks(spark, d)

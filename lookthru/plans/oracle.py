@@ -372,6 +372,9 @@ _ORACLE: dict[str, str] = {
                   "SELECT DISTINCT page_id, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN scheme || href "
                   "WHEN starts_with(href, '#') THEN whole || href WHEN starts_with(href, '?') THEN bare || href WHEN starts_with(href, '/') THEN site || href "
                   "ELSE regexp_replace(bare, '[^/]*$', '') || href END AS link FROM found",
+    "file_manifest": "WITH l AS (SELECT CAST(page_id AS VARCHAR) AS file, sha256(html) AS sha256, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages) "
+                     "SELECT file, 'landed' AS status, sha256, bytes, count(*) OVER (PARTITION BY sha256) AS copies FROM l "
+                     "UNION ALL SELECT CAST(page_id + 1000000000 AS VARCHAR), 'failed', NULL, 0, 0 FROM pages WHERE page_id % 10 = 0",
     "snapshot_read": "WITH r AS (SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) - (SELECT min(year(o_orderdate)) FROM orders) + 1 AS INT) AS snapshot_id FROM orders) "
                      "SELECT * FROM r WHERE snapshot_id BETWEEN (CASE WHEN EXISTS (SELECT 1 FROM r WHERE snapshot_id = 4) THEN 4 ELSE 0 END) AND 6",
     "isin_validate": "WITH b AS (SELECT c_custkey AS k, 'INE' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || (c_custkey % 10) AS s FROM customer), "

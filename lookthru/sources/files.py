@@ -45,15 +45,13 @@ def page_links(pages: DataFrame, pattern: str = FILE_LINK) -> DataFrame:
     return found.select("page_id", absolute_url(F.col("url"), F.col("href")).alias("link")).distinct()
 
 
-def file_manifest(spark: SparkSession, path: str, expected: DataFrame | None = None) -> DataFrame:
-    """One row per landed file: name, bytes, content hash, number of equal files.
+def content_manifest(contents: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """One row per content (columns file, content): name, bytes, content hash, number of equal contents.
 
-    With ``expected`` (column file) missing files are rows with status 'failed'.
-    Contents are hashed where they are read; only the digests are shuffled.
+    With ``expected`` (column file) missing files are rows with status 'failed'. Contents are
+    hashed where they are; only the digests are shuffled.
     """
-    landed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-              .select(F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("file"),
-                      F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")))
+    landed = contents.select("file", F.octet_length("content").cast("bigint").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     copies = landed.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"))
     found = landed.join(copies, "sha256").select(
         "file", F.lit("landed").alias("status"), "sha256", "bytes", "copies")
@@ -65,6 +63,12 @@ def file_manifest(spark: SparkSession, path: str, expected: DataFrame | None = N
     return found.unionByName(missing)
 
 
+def file_manifest(spark: SparkSession, path: str, expected: DataFrame | None = None) -> DataFrame:
+    """The manifest of the files below a folder; a file may have up to 2 GB."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return content_manifest(read.select(F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("file"), "content"), expected)
+
+
 def manifest_totals(manifest: DataFrame, *keys: str) -> DataFrame:
     """Landed, failed and total bytes per key, for example per month."""
     return manifest.groupBy(*keys).agg(

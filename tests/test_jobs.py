@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from lookthru import schemas
 from lookthru.operators import overlap, quality, risk
 from lookthru.plans import pipeline
-from lookthru.sources import files, generate, market, sinks, versioned
+from lookthru.sources import files, generate, market, sinks
 from lookthru.streaming import ticks
 
 MONTH = dt.date(2026, 6, 1)
@@ -114,21 +115,6 @@ def test_conform_and_guard(spark):
     assert schemas.violations(bad).count() == 2
 
 
-def test_snapshots(spark, tmp_path):
-    p = str(tmp_path / "t")
-    a = spark.range(3)
-    assert versioned.snapshot_append(a, p)["current_snapshot"] == 1
-    versioned.snapshot_append(spark.range(3, 5), p)
-    versioned.snapshot_overwrite(spark.range(10, 11), p)
-    versioned.snapshot_append(spark.range(11, 13), p)
-    ids = lambda v: sorted(r.id for r in versioned.snapshot_read(spark, p, v).collect())
-    assert ids(None) == [10, 11, 12] and ids(1) == [0, 1, 2] and ids(2) == [0, 1, 2, 3, 4] and ids(3) == [10]
-    spark.range(99, 100).write.parquet(f"{p}/data/snapshot_id=5")  # a write that never committed
-    assert ids(None) == [10, 11, 12]
-    log = [(r.operation, r.added_records) for r in versioned.snapshot_history(spark, p).collect()]
-    assert log == [("append", 3), ("append", 2), ("overwrite", 1), ("append", 2)]
-
-
 def test_month_sink_leaves_other_months(spark, tmp_path):
     p = str(tmp_path / "m")
     df = generate.scale_holdings(spark, 10, 3, 5)
@@ -168,10 +154,10 @@ def test_sample_warehouse_to_published_marts(spark, tmp_path):
                    "fact_price": generate.sample_prices(companies)}, w)
     stored = spark.read.parquet(f"{w}/silver_holdings")
     sums = stored.groupBy("scheme_code", "disclosure_month").agg(F.sum("weight_pct").alias("s")).collect()
-    assert len(sums) == 40 and all(abs(r.s - 100) < 0.01 for r in sums)
+    assert len(sums) == 14 * 4 and all(abs(r.s - 100) < 0.01 for r in sums)
     large = companies.filter("cap_bucket = 'large'").select("isin", F.lit(100.0 / 32).alias("weight_pct"))
     counts = pipeline.publish_gold(spark, w, out, large, dt.date(2026, 7, 12))
-    assert len(counts) == 13 and counts["overlap"] == 100 and counts["quality"] == 5 and counts["turnover"] == 30
+    assert len(counts) == 13 and 0 < counts["overlap"] <= 91 and counts["quality"] == 5 and counts["turnover"] == 14 * 3
     assert all(n > 0 for n in counts.values())
 
 
@@ -235,8 +221,7 @@ def test_stream_restart_loses_and_doubles_nothing(spark, tmp_path):
     generate.write_replay(lines, src)
 
     def once():
-        good, bad = ticks.read_ticks(spark, "file", src, max_files=2)
-        stop_clean(*ticks.start_ticks(good, bad, out, dlq, cp, watermark="2 minutes", interval=None))
+        stop_clean(*ticks.start_ticks(ticks.folder_lines(spark, src, 2), out, dlq, cp, ticks.StreamOptions("2 minutes", None)))
         return spark.read.parquet(out)
 
     first = once()
@@ -264,17 +249,21 @@ def test_stream_drops_what_is_behind_the_watermark(spark, tmp_path):
         text = "\n".join(json.dumps({"event_id": e, "isin": "I", "ltp": 1.0, "seq": i, "event_time": at}) for e, at in rows)
         (tmp_path / "in").mkdir(exist_ok=True)
         (tmp_path / "in" / f"{i}.json").write_text(text)
-        good, bad = ticks.read_ticks(spark, "file", src, require_time=True)
-        q, b = ticks.start_ticks(good, bad, out, dlq, cp, interval=None)
-        stop_clean(q, b)
-        return ticks.dropped_late(q)
+        stop_clean(*ticks.start_ticks(ticks.folder_lines(spark, src), out, dlq, cp, ticks.StreamOptions(interval=None)))
 
+    late = ticks.LateRows()
+    spark.streams.addListener(late)
     land(0, ("a", t % "00:00"), ("b", t % "05:00"))
     land(1, ("c", t % "04:30"), ("e", None))
     # The watermark of a batch counts for late rows from the batch after the next one.
-    dropped = land(2, ("f", t % "06:00"), ("d", t % "01:00"))
+    land(2, ("f", t % "06:00"), ("d", t % "01:00"))
+    for _ in range(100):  # progress is told a little later
+        if sum(late.dropped.values()):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(late)
     got = {r.event_id for r in spark.read.parquet(out).collect()}
-    assert got == {"a", "b", "c", "f"} and dropped >= 1
+    assert got == {"a", "b", "c", "f"} and sum(late.dropped.values()) >= 1
     assert "\"e\"" in spark.read.parquet(dlq).first().json
 
 
@@ -286,8 +275,9 @@ def test_live_marks(spark, tmp_path):
     prices = spark.createDataFrame([("X", 100.0), ("Y", 1.0)], "isin string, close double")
     got = {r.company_id: r.live_value for r in ticks.live_mark(good, lt, prices).collect()}
     assert got == {"X": 1200.0, "Y": 50.0}
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    src, out, held, closes = (str(tmp_path / n) for n in ("in", "out", "held", "closes"))
     good.write.parquet(src)
+    lt.write.parquet(held), prices.write.parquet(closes)
     stream = spark.readStream.schema(good.schema).parquet(src)
-    stop_clean(ticks.start_live_marks(stream, lt, prices, out, str(tmp_path / "cp"), interval=None))
+    stop_clean(ticks.start_live_marks(stream, held, closes, out, str(tmp_path / "cp"), interval=None))
     assert [(r.company_id, r.live_value) for r in spark.read.parquet(out).collect()] == [("X", 1200.0)]
