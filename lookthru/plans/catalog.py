@@ -226,6 +226,22 @@ def silver_dedup(spark, d):
         "ingestion_run_id")
 
 
+@query
+def silver_refile(spark, d):
+    """A month filed twice: the second run brings a part of the schemes, with other weights; the rest stays."""
+    first = feeds.bronze(spark, d).filter("ingestion_run_id = 'run-1'")
+    again = (F.substring(F.regexp_extract("source_file", r"^(\w+)", 1), 2, 10).cast("int") % 3 == 0)
+    second = first.filter(again).withColumns({
+        "weight_pct": F.col("weight_pct") + 1, "ingestion_run_id": F.lit("run-9"),
+        "parsed_at": F.to_timestamp(F.lit("2001-12-09 03:00:00"))})
+    b = first.unionByName(second).select(
+        F.regexp_extract("source_file", r"^(\w+)", 1).alias("scheme_code"), "disclosure_month",
+        F.col("isin").alias("company_id"), "instrument_name_raw", "weight_pct", "parsed_at",
+        "source_file", "ingestion_run_id")
+    return resolve.dedup_latest(b).select(
+        "scheme_code", "disclosure_month", "company_id", "instrument_name_raw", "weight_pct", "ingestion_run_id")
+
+
 @query
 def ingest_stats(spark, d):
     s = _resolved(spark, d).withColumn("scheme_code", F.col("scheme_name"))

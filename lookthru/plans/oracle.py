@@ -405,6 +405,11 @@ _ORACLE: dict[str, str] = {
     "fuzzy_resolve": "WITH {resolved} SELECT n, fuzzy_isin, score FROM fuzzy",
     "silver_dedup": "WITH {bronze} SELECT scheme_code, disclosure_month, raw_isin AS company_id, instrument_name_raw, weight_pct, ingestion_run_id FROM bronze "
                     "QUALIFY row_number() OVER (PARTITION BY scheme_code, disclosure_month, raw_isin, instrument_name_raw ORDER BY copy DESC) = 1",
+    "silver_refile": "WITH {bronze}, one AS (SELECT scheme_code, disclosure_month, raw_isin AS company_id, instrument_name_raw, weight_pct, "
+                     "'run-1' AS run FROM bronze WHERE copy = 1), two AS (SELECT * FROM one UNION ALL SELECT scheme_code, disclosure_month, company_id, "
+                     "instrument_name_raw, weight_pct + 1, 'run-9' FROM one WHERE CAST(substr(scheme_code, 2, 10) AS INT) % 3 = 0) "
+                     "SELECT scheme_code, disclosure_month, company_id, instrument_name_raw, weight_pct, run AS ingestion_run_id FROM two "
+                     "QUALIFY row_number() OVER (PARTITION BY scheme_code, disclosure_month, company_id, instrument_name_raw ORDER BY run DESC) = 1",
     "ingest_stats": "WITH {resolved} SELECT ingestion_run_id, count(DISTINCT source_file) AS files_parsed, count(DISTINCT scheme_name) AS schemes, count(*) AS silver_rows, "
                     "count(*) FILTER (asset_class = 'equity') AS equity_rows, coalesce(CAST(round(CAST(CAST(count(company_id) FILTER (asset_class = 'equity') AS DOUBLE) "
                     "/ count(*) FILTER (asset_class = 'equity') AS DECIMAL(18,10)), 4) AS DOUBLE), 0) AS resolution_rate FROM resolved GROUP BY 1",
