@@ -83,18 +83,17 @@ def concentration(look_through_df: DataFrame) -> DataFrame:
         F.max(F.when(F.col("rank") == 1, F.col("instrument_name_raw"))).alias("top_holding"),
         F.sum(F.when(F.col("rank") == 1, w)).alias("t1"),
         F.sum(F.when(F.col("rank") <= 5, w)).alias("t5"), F.sum(w).alias("t10"))
-    equity = look_through_df.filter(F.col("asset_class") == "equity")
+    is_equity = F.col("asset_class") == "equity"
     square = (w.cast("decimal(14,8)") * w.cast("decimal(14,8)")).cast("decimal(24,10)")
-    spread = equity.groupBy("portfolio_id").agg(
-        F.count(F.lit(1)).alias("unique_companies"), F.sum(square).alias("hhi"))
-    every = look_through_df.select("portfolio_id").distinct()
+    spread = look_through_df.groupBy("portfolio_id").agg(
+        F.count(F.when(is_equity, 1)).alias("unique_companies"), F.sum(F.when(is_equity, square)).alias("hhi"))
     zero = F.lit(0.0)
-    return (every.join(spread, "portfolio_id", "left").join(top, "portfolio_id", "left").select(
+    return (spread.join(top, "portfolio_id", "left").select(
         "portfolio_id", "top_holding",
         F.coalesce(rounded(F.col("t1"), 2), zero).alias("top_holding_pct"),
         F.coalesce(rounded(F.col("t5"), 2), zero).alias("top_5_pct"),
         F.coalesce(rounded(F.col("t10"), 2), zero).alias("top_10_pct"),
-        F.coalesce("unique_companies", F.lit(0).cast("bigint")).alias("unique_companies"),
+        "unique_companies",
         F.coalesce(F.round("hhi", 1).cast("double"), zero).alias("hhi")))
 
 

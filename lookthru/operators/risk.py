@@ -6,10 +6,10 @@ spread over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .marts import rounded
-from .ordered import with_previous, with_running_max
+from .ordered import with_previous, with_previous_and_max, with_running_max
 
 TRADING_DAYS = 252
 MIN_RETURNS = 20
@@ -21,10 +21,26 @@ def _bars(candles: DataFrame) -> DataFrame:
                           F.trunc(F.col("timestamp").cast("date"), "month").alias("_chunk"))
 
 
-def log_returns(candles: DataFrame) -> DataFrame:
+def _return() -> Column:
+    return F.when((F.col("close") > 0) & (F.col("prev") > 0), F.ln(F.col("close") / F.col("prev")))
+
+
+def _returns(candles: DataFrame) -> DataFrame:
+    """A row per bar; r is NULL where there is no return."""
     b = with_previous(_bars(candles), ["isin"], "_chunk", ["timestamp"], "close", "prev")
-    r = F.when((F.col("close") > 0) & (F.col("prev") > 0), F.ln(F.col("close") / F.col("prev")))
-    return b.select("isin", "timestamp", r.alias("r")).filter(F.col("r").isNotNull())
+    return b.select("isin", "timestamp", _return().alias("r"))
+
+
+def log_returns(candles: DataFrame) -> DataFrame:
+    return _returns(candles).filter(F.col("r").isNotNull())
+
+
+def _volatility() -> Column:
+    return F.when(F.count("r") >= MIN_RETURNS, F.stddev_samp("r") * F.sqrt(F.lit(float(TRADING_DAYS))) * 100).alias("volatility_pct")
+
+
+def _drawdown() -> Column:
+    return F.when(F.count("close") >= 2, F.min(F.col("close") / F.col("peak") - 1) * 100).alias("max_drawdown_pct")
 
 
 def adv(candles: DataFrame, sessions: int = 30) -> DataFrame:
@@ -48,36 +64,28 @@ def price_table(candles: DataFrame, instruments: DataFrame, sessions: int = 30)
 
 def realised_volatility(candles: DataFrame) -> DataFrame:
     """Annualised sample deviation of log returns in percent; NULL below 20 returns."""
-    g = log_returns(candles).groupBy("isin").agg(
-        F.count("r").alias("n"), F.stddev_samp("r").alias("s"))
-    every = candles.select("isin").distinct()
-    return every.join(g, "isin", "left").select("isin", F.when(
-        F.col("n") >= MIN_RETURNS,
-        F.col("s") * F.sqrt(F.lit(float(TRADING_DAYS))) * 100).alias("volatility_pct"))
+    return _returns(candles).groupBy("isin").agg(_volatility())
 
 
 def beta(candles: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Covariance with the benchmark over its variance, returns matched by time stamp."""
-    a = log_returns(candles).withColumnRenamed("r", "a")
-    b = log_returns(benchmark).select("timestamp", F.col("r").alias("b"))
-    g = a.join(b, "timestamp").groupBy("isin").agg(
-        F.count(F.lit(1)).alias("n"), F.covar_samp("a", "b").alias("cov"),
-        F.var_samp("b").alias("var"))
-    every = candles.select("isin").distinct()
-    return every.join(g, "isin", "left").select("isin", F.when(
-        F.col("n") >= MIN_PAIRS, F.try_divide(F.col("cov"), F.col("var"))).alias("beta"))
+    a = _returns(candles).withColumnRenamed("r", "a")
+    b = log_returns(benchmark).select("timestamp", F.col("r").alias("r_b"))
+    both = a.join(b, "timestamp", "left").withColumn("b", F.when(F.col("a").isNotNull(), F.col("r_b")))
+    return both.groupBy("isin").agg(F.when(F.count("b") >= MIN_PAIRS, F.try_divide(
+        F.covar_samp("a", "b"), F.var_samp("b"))).alias("beta"))
 
 
 def max_drawdown(candles: DataFrame) -> DataFrame:
     """Deepest fall from a running peak in percent; NULL below two bars."""
     b = with_running_max(_bars(candles), ["isin"], "_chunk", ["timestamp"], "close", "peak")
-    return b.groupBy("isin").agg(F.when(
-        F.count("close") >= 2, F.min(F.col("close") / F.col("peak") - 1) * 100)
-        .alias("max_drawdown_pct"))
+    return b.groupBy("isin").agg(_drawdown())
 
 
 def constituent_risk(candles: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
-    out = realised_volatility(candles).join(max_drawdown(candles), "isin")
+    """Volatility, drawdown and beta per instrument; the first two from one pass over the bars."""
+    b = with_previous_and_max(_bars(candles), ["isin"], "_chunk", ["timestamp"], "close", "prev", "peak")
+    out = b.withColumn("r", _return()).groupBy("isin").agg(_volatility(), _drawdown())
     if benchmark is None:
         return out.withColumn("beta", F.lit(None).cast("double"))
     return out.join(beta(candles, benchmark), "isin")
