@@ -25,14 +25,18 @@ def best_match(names: DataFrame, choices: DataFrame, threshold: float,
     where = ["block"] if blocked else []
     words = sim.sort_words(F.col("n"))
     same = F.concat(F.lit("="), F.col("_s"))
-    keys = sim.match_keys(F.col("_s"), threshold)
-    right = choices.withColumn("_s", words).select(
+    # How many choices have a member: one small row, at most letters times repeats of a letter.
+    met_in = choices.select(F.explode(sim.members(sim.characters(words))).alias("m")).groupBy("m").agg(
+        F.count(F.lit(1)).alias("k"))
+    counts = met_in.select(F.map_from_entries(F.collect_list(F.struct("m", "k")))).scalar()
+    keys = sim.match_keys(F.col("_s"), threshold, F.col("_counts"))
+    right = choices.withColumn("_s", words).withColumn("_counts", counts).select(
         *where, F.col("n").alias("r_n"), F.col("_s").alias("r_s"),
         F.explode(F.array_union(F.array(same), keys)).alias("_key"))
     # A name with the same words as a choice needs no other key: most spelling variants
     # end here, and the names are read only once.
     known = choices.select(*where, words.alias("_s"), F.lit(True).alias("_eq")).distinct()
-    left = names.withColumn("_s", words).join(known, [*where, "_s"], "left").select(
+    left = names.withColumn("_s", words).join(known, [*where, "_s"], "left").withColumn("_counts", counts).select(
         *where, F.col("n").alias("l_n"), F.col("_s").alias("l_s"),
         F.explode(F.when(F.col("_eq"), F.array(same)).otherwise(keys)).alias("_key"))
     on = ["_key", *where]

@@ -145,9 +145,19 @@ def test_best_match_misses_nothing(spark, threshold):
     assert got == want
 
 
+def test_names_of_one_family_do_not_all_meet(spark):
+    df = spark.createDataFrame([(f"supplier number {i:06}",) for i in range(0, 900_000, 1501)], "n string")
+    chars = sim.characters(sim.sort_words(F.col("n")))
+    counts = df.select(F.explode(sim.members(chars)).alias("m")).groupBy("m").agg(F.count("*").alias("k"))
+    counts = counts.select(F.map_from_entries(F.collect_list(F.struct("m", "k")))).scalar()
+    keys = df.withColumn("c", counts).select(F.explode(sim.match_keys(sim.sort_words(F.col("n")), 95.0, F.col("c"))).alias("key"))
+    met = keys.groupBy("key").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+    assert met < 0.5 * df.count() ** 2
+
+
 def test_match_keys_refuse_a_threshold_without_guarantee():
     with pytest.raises(ValueError):
-        sim.match_keys(F.lit("a"), 60.0)
+        sim.match_keys(F.lit("a"), 60.0, F.lit(None))
 
 
 def test_redaction(spark):
