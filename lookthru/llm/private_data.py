@@ -10,8 +10,8 @@ with the base spans as labels, by pseudo-likelihood. Tokens of high marginal pro
 
 from __future__ import annotations
 
-import hashlib
 import re
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -287,12 +287,12 @@ def redacted(text: str | None, weights: dict[str, np.ndarray] | None) -> str | N
     if not text:
         return text
     base = base_spans(text)
-    spans = sorted((s, e, k) for k, s, e in base + added_spans(text, base, weights))
+    spans = deque(sorted((s, e, k) for k, s, e in base + added_spans(text, base, weights)))
     out, at = [], 0
     while spans:
-        start, end, kind = spans.pop(0)
+        start, end, kind = spans.popleft()
         while spans and spans[0][0] < end:
-            end = max(end, spans.pop(0)[1])
+            end = max(end, spans.popleft()[1])
         out += [text[at:start], f"[{KINDS[kind].upper()}]"]
         at = end
     return "".join(out) + text[at:] if out else text
