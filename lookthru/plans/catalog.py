@@ -541,8 +541,11 @@ def tick_dedup(spark, d):
 
 @query
 def recovery_diff(spark, d):
+    """Every eleventh event was not expected and every thirteenth has been lost."""
     good, bad = _ticks(spark, d)
-    return ticks.recovery_diff(feeds.base_ticks(spark, d), ticks.dedup_ticks(good), bad)
+    n = F.substring("event_id", 2, 19).cast("bigint")
+    return ticks.recovery_diff(feeds.base_ticks(spark, d).filter(n % 11 != 0),
+                               ticks.dedup_ticks(good).filter(n % 13 != 0), bad)
 
 
 @query

@@ -235,7 +235,7 @@ def candle_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def instrument_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The instrument master as landed records: shares, and every third part a derivative."""
-    p = table(spark, sf_dir, "part").filter(F.col("p_type") != "PROMO")
+    p = table(spark, sf_dir, "part")
     symbol = F.upper(F.concat_ws("_", "p_brand", "p_type"))
     other = F.col("p_partkey") % 3 == 0
     return p.select(
@@ -296,7 +296,8 @@ def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customer_isins(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey")
     k = F.col("c_custkey")
-    body = F.concat(F.lit("INE"), F.lpad(k.cast("string"), 8, "0"), (k % 10).cast("string"))
+    country = F.when(k % 3 == 0, "USA").otherwise("INE")
+    body = F.concat(country, F.lpad(k.cast("string"), 8, "0"), (k % 10).cast("string"))
     raw = (F.when(k % 7 == 0, F.lit("N.A.")).when(k % 5 == 0, F.lower(F.concat(
         F.substring(body, 1, 3), F.lit("-"), F.substring(body, 4, 20)))).otherwise(body))
     return c.select("c_custkey", raw.alias("raw"))

@@ -362,7 +362,7 @@ _ORACLE: dict[str, str] = {
     "month_spine": "WITH {trades} SELECT scheme_code, CAST(unnest(generate_series(date_trunc('month', min(ship_date)), "
                    "date_trunc('month', max(ship_date)), INTERVAL 1 MONTH)) AS DATE) AS month FROM trades GROUP BY scheme_code",
     "instrument_dim": "WITH {companies}, t AS (SELECT upper(p_brand || '_' || p_type) AS nse_symbol, min(CAST(p_partkey AS VARCHAR)) AS smartapi_token "
-                      "FROM part WHERE p_type <> 'PROMO' AND p_partkey % 3 <> 0 AND p_partkey % 7 <> 0 GROUP BY 1) "
+                      "FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 7 <> 0 GROUP BY 1) "
                       "SELECT isin, nse_symbol, company_name, smartapi_token FROM companies LEFT JOIN t USING (nse_symbol)",
     "candle_conform": "SELECT 'S' || lpad(CAST(l_suppkey AS VARCHAR), 10, '0') AS isin, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, "
                       "p AS open, p AS high, p AS low, p AS close, CASE WHEN l_orderkey % 10 <> 0 THEN l_quantity END AS volume "
@@ -377,10 +377,10 @@ _ORACLE: dict[str, str] = {
                      "UNION ALL SELECT CAST(page_id + 1000000000 AS VARCHAR), 'failed', NULL, 0, 0 FROM pages WHERE page_id % 10 = 0",
     "snapshot_read": "WITH r AS (SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) - (SELECT min(year(o_orderdate)) FROM orders) + 1 AS INT) AS snapshot_id FROM orders) "
                      "SELECT * FROM r WHERE snapshot_id BETWEEN (CASE WHEN EXISTS (SELECT 1 FROM r WHERE snapshot_id = 4) THEN 4 ELSE 0 END) AND 6",
-    "isin_validate": "WITH b AS (SELECT c_custkey AS k, 'INE' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || (c_custkey % 10) AS s FROM customer), "
+    "isin_validate": "WITH b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'USA' ELSE 'INE' END || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || (c_custkey % 10) AS s FROM customer), "
                      "n AS (SELECT k, CASE WHEN k % 7 <> 0 THEN s END AS isin FROM b), v AS (SELECT k, isin, coalesce(regexp_matches(isin, '^[A-Z]{{2}}[A-Z0-9]{{9}}[0-9]$') AND "
                      + _luhn("isin").replace("{", "{{").replace("}", "}}") + " % 10 = 0, false) AS valid FROM n) "
-                     "SELECT k AS c_custkey, isin, valid, valid AS is_equity FROM v",
+                     "SELECT k AS c_custkey, isin, valid, valid AND starts_with(isin, 'INE') AS is_equity FROM v",
     "name_normalise": "WITH r AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'The ' || c_mktsegment || ' & ' || c_name || ' Co. Ltd.' "
                       "WHEN 1 THEN c_name || '  Private LIMITED - Equity Shares' WHEN 2 THEN 'Holdings of ' || c_mktsegment || ' Corp, Unlisted' "
                       "ELSE c_name END AS raw FROM customer) SELECT c_custkey, n AS name, substr(n, 1, 4) AS block FROM (SELECT c_custkey, "
@@ -489,7 +489,7 @@ _ORACLE: dict[str, str] = {
     "direct_crowding": "WITH {dtl}, {direct} SELECT DISTINCT isin, portfolio_id, company_name, days_to_liquidate, mf_pct_of_free_float FROM (SELECT portfolio_id, company_id AS isin FROM direct_weights) JOIN dtl USING (isin)",
     "adv_30": "WITH {trades}, {candles} SELECT isin, CAST(sum(vol) AS DOUBLE) / count(vol) AS adv_shares_30d FROM (SELECT * FROM candles QUALIFY row_number() OVER (PARTITION BY isin ORDER BY ts DESC) <= 30) GROUP BY 1",
     "price_refresh": "WITH {trades}, {candles}, {companies}, t AS (SELECT upper(p_brand || '_' || p_type) AS nse_symbol, min(CAST(p_partkey AS VARCHAR)) AS smartapi_token "
-                     "FROM part WHERE p_type <> 'PROMO' AND p_partkey % 3 <> 0 AND p_partkey % 7 <> 0 GROUP BY 1), "
+                     "FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 7 <> 0 GROUP BY 1), "
                      "a AS (SELECT isin, CAST(sum(vol) AS DOUBLE) / count(vol) AS adv_shares_30d, arg_max(close, ts) AS close FROM (SELECT * FROM candles QUALIFY row_number() OVER (PARTITION BY isin ORDER BY ts DESC) <= 30) GROUP BY 1) "
                      "SELECT isin, nse_symbol, smartapi_token, close, adv_shares_30d, 'candles' AS source FROM companies JOIN t USING (nse_symbol) JOIN a USING (isin)",
     "volatility": "WITH {trades}, {candles} SELECT isin, round(volatility_pct, 6) AS volatility_pct FROM vols",
@@ -513,8 +513,10 @@ _ORACLE: dict[str, str] = {
     "tick_good": "WITH {ticks} SELECT event_id, isin, token, ltp, seq, event_time FROM ticks UNION ALL SELECT event_id, isin, token, ltp, seq, event_time FROM ticks WHERE seq % 20 = 0",
     "tick_dlq": "WITH {ticks} SELECT '{{\"isin\":\"' || isin || '\",\"ltp\":\"NOT_A_NUMBER\",\"seq\":' || seq || '}}' AS json FROM ticks WHERE seq % 50 = 0",
     "tick_dedup": "WITH {ticks} SELECT event_id, isin, token, ltp, seq, event_time FROM ticks",
-    "recovery_diff": "WITH {ticks} SELECT count(*) AS total_rows, count(*) AS distinct_ids, count(*) AS expected_ids, CAST(0 AS BIGINT) AS duplicates, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS unexpected, "
-                     "count(*) FILTER (seq % 50 = 0) AS dead_letters FROM ticks",
+    "recovery_diff": "WITH {ticks}, t AS (SELECT seq, CAST(substr(event_id, 2) AS BIGINT) AS n FROM ticks) SELECT count(*) FILTER (n % 13 <> 0) AS total_rows, "
+                     "count(*) FILTER (n % 13 <> 0) AS distinct_ids, count(*) FILTER (n % 11 <> 0) AS expected_ids, CAST(0 AS BIGINT) AS duplicates, "
+                     "count(*) FILTER (n % 11 <> 0 AND n % 13 = 0) AS missing, count(*) FILTER (n % 11 = 0 AND n % 13 <> 0) AS unexpected, "
+                     "count(*) FILTER (seq % 50 = 0) AS dead_letters FROM t",
     "live_mark": "WITH {look}, {prices}, {ticks}, newest AS (SELECT isin, arg_max(ltp, ts) AS ltp FROM ticks GROUP BY 1) SELECT portfolio_id, company_id, asset_class, value, n.ltp, "
                  "value * coalesce(n.ltp / nullif(close, 0), 1) AS live_value FROM look_through LEFT JOIN (newest n JOIN prices p ON n.isin = p.isin) ON company_id = n.isin",
 }
