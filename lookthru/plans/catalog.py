@@ -22,9 +22,11 @@ SCENARIOS = [(c, y, g) for c in (5000.0, 10000.0) for y in (10, 20) for g in (8.
 TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
-def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(fn: Query | str) -> Query:
+    """Register a function under its own name, or under the given one."""
+    if isinstance(fn, str):
+        return lambda f: QUERIES.setdefault(fn, f)
+    return QUERIES.setdefault(fn.__name__, fn)
 
 
 def stamp(col: str) -> Column:
@@ -184,14 +186,11 @@ def pii_redact(spark, d):
         "doc_id", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query
+@query("statement_holdings")
 def statement_lines(spark, d):
     return statement_holdings(feeds.statements(spark, d))
 
 
-QUERIES["statement_holdings"] = QUERIES.pop("statement_lines")
-
-
 # --- silver ----------------------------------------------------------------------
 
 def _resolved(spark, d):

@@ -246,18 +246,23 @@ def instrument_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statement pages: one holding line each, between personal details."""
+    """Statement pages: two holding lines of one scheme each, the NAV by line, between personal details."""
     item = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice")
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     j = item.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
+    nav = F.lit(10.0) + F.col("l_linenumber")
+
+    def line(units: Column, nav: Column, value: Column) -> Column:
+        return F.concat(
+            F.lit("\nIN"), F.lpad((F.col("l_suppkey") % 10_000_000_000).cast("string"), 10, "0"), F.lit(" - Scheme "),
+            F.col("l_suppkey").cast("string"), F.lit(" Growth   "), F.format_string("%,.3f", units), F.lit("  "),
+            F.format_string("%.4f", nav), F.lit("  "), F.format_string("%,.2f", value))
+
     text = F.concat(
-        F.lit("Investor ABCDE1234F me.too@mail.example Folio No: 12/34\nIN"),
-        F.lpad((F.col("l_suppkey") % 10_000_000_000).cast("string"), 10, "0"), F.lit(" - Scheme "),
-        F.col("l_suppkey").cast("string"), F.lit(" Growth   "),
-        F.format_string("%,.3f", F.col("l_quantity")), F.lit("  "),
-        F.format_string("%.4f", F.lit(10.0)), F.lit("  "),
-        F.format_string("%,.2f", F.col("l_extendedprice")), F.lit("\nend of page"))
+        F.lit("Investor ABCDE1234F me.too@mail.example Folio No: 12/34"),
+        line(F.col("l_quantity"), nav, F.col("l_extendedprice")),
+        line(F.lit(1.0), nav + 0.5, F.lit(100.0)), F.lit("\nend of page"))
     return j.select(code("P", "o_custkey").alias("statement_id"),
                     (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("page"), text.alias("text"))
 

@@ -396,8 +396,9 @@ _ORACLE: dict[str, str] = {
                   "'(?i)\\bFolio No[:.]?\\s*([\\p{{L}}\\p{{N}}_/\\- ]+)', 'Folio No: [REDACTED]', 'g') AS t FROM documents)",
     "scheme_code": "SELECT s_suppkey, 'S' || upper(substr(sha1(lower(trim(s_name))), 1, 9)) AS scheme_code FROM supplier",
     "statement_holdings": "SELECT 'P' || lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS statement_id, 'IN' || lpad(CAST(l_suppkey AS VARCHAR), 10, '0') AS isin, "
-                          "'Scheme ' || l_suppkey || ' Growth' AS scheme_name, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS units, CAST(10 AS DOUBLE) AS nav, "
-                          "CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+                          "'Scheme ' || l_suppkey || ' Growth' AS scheme_name, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) + count(*) AS DOUBLE) AS units, "
+                          "CAST(arg_max(10.5 + l_linenumber, l_orderkey * 10 + l_linenumber) AS DOUBLE) AS nav, "
+                          "CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) + 100 * count(*) AS DOUBLE) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
                           "WHERE l_extendedprice > 0 GROUP BY o_custkey, l_suppkey",
     "silver_resolve": "WITH {resolved} SELECT source_file, disclosure_month, instrument_name_raw, ingestion_run_id, "
                       "CASE WHEN asset_class = 'equity' AND (company_id IS NULL OR company_id NOT IN (SELECT isin FROM listed)) THEN 'other' ELSE asset_class END AS asset_class, "
