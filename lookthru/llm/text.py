@@ -69,21 +69,9 @@ class Words:
         """The text that each word belongs to."""
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def rank(self) -> np.ndarray:
-        """The place of each word in its text."""
-        return np.arange(len(self.starts)) - np.repeat(self.first[:-1], self.counts)
-
     def word(self, i: int) -> str:
         return self.raw[self.starts[i]:self.ends[i]].decode("utf-8", "replace")
 
-    def array(self) -> pa.Array:
-        """The words themselves as one string array."""
-        sizes = self.ends - self.starts
-        inside = np.repeat(self.starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-        return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets),
-                                                pa.py_buffer(self.bytes[inside].tobytes()))
-
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, from eight bytes at a time."""
         eights = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, 0, (1,))
