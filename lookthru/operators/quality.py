@@ -84,13 +84,35 @@ def dq_free_float(dtl: DataFrame | None, holdings: DataFrame | None = None) -> D
     return g.select(*_row("mf_ownership_within_free_float", F.col("x"), 0, F.col("x") == 0))
 
 
+def _holding_gates(holdings: DataFrame, as_of: dt.date) -> DataFrame:
+    """The four gates over holdings from one scan: natural keys are counted and summed first,
+    then scheme-months, then all."""
+    equity = F.col("asset_class") == "equity"
+    keys = holdings.groupBy(*NATURAL_KEY).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(exact_weight()).alias("w"), F.count(F.when(equity, 1)).alias("equity"),
+        F.count(F.when(equity, F.col("company_id"))).alias("resolved"))
+    months = keys.groupBy("scheme_code", "disclosure_month").agg(
+        F.coalesce(F.sum("w"), F.lit(0)).cast("decimal(28,6)").alias("t"), F.sum(F.col("rows") - 1).alias("extra"),
+        F.sum("equity").alias("equity"), F.sum("resolved").alias("resolved"))
+    fits = F.abs(F.col("t") - 100) <= F.lit(TOLERANCE_PCT).cast("decimal(10,6)")
+    zero = F.lit(0)
+    one = months.agg(F.count(F.when(fits, 1)).alias("ok"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("extra"), zero).alias("extra"),
+                     F.coalesce(F.sum("equity"), zero).alias("equity"), F.coalesce(F.sum("resolved"), zero).alias("resolved"),
+                     F.max("disclosure_month").alias("m"))
+    reconciled, resolved = _share(F.col("ok"), F.col("n")), _share(F.col("resolved"), F.col("equity"))
+    age = F.datediff(F.lit(as_of), F.col("m"))
+    gates = [_row("scheme_month_weight_reconciliation", rounded(reconciled, 4), MIN_RECONCILED, reconciled >= MIN_RECONCILED),
+             _row("equity_isin_resolution_rate", rounded(resolved, 4), MIN_RESOLUTION, resolved >= MIN_RESOLUTION,
+                  F.col("equity") - F.col("resolved")),
+             _row("duplicate_holdings", F.col("extra"), 0, F.col("extra") == 0),
+             _row("disclosure_age_days", age, MAX_AGE_DAYS, F.coalesce(age <= MAX_AGE_DAYS, F.lit(False)))]
+    return one.select(F.inline(F.array(*[F.struct(*g) for g in gates])))
+
+
 def dq_report(holdings: DataFrame, dtl: DataFrame | None, as_of: dt.date,
               strict: bool = False) -> DataFrame:
     """Five gates as five rows. Strict mode runs the job and raises if one fails."""
-    report = gate_weights(holdings)
-    for gate in (dq_resolution(holdings), dq_duplicates(holdings),
-                 dq_freshness(holdings, as_of), dq_free_float(dtl, holdings)):
-        report = report.unionByName(gate)
+    report = _holding_gates(holdings, as_of).unionByName(dq_free_float(dtl, holdings))
     if strict:
         failed = [r.metric for r in report.filter(~F.col("passed")).select("metric").collect()]
         if failed:
