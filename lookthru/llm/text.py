@@ -96,6 +96,21 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def long_grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """``grams`` for many words: runs of doubled length are hashed from those before and joined."""
+    n = max(0, len(hashes) - k + 1)
+    out, done, power, size = np.full(n, k, np.uint64), 0, hashes, 1
+    while n:
+        if k & size:
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + power[done:done + n])
+            done += size
+        if 2 * size > k:
+            break
+        power = mix(power[:-size] * np.uint64(0x9E3779B97F4A7C15) + power[size:])
+        size *= 2
+    return out
+
+
 def winnow(gram: np.ndarray, words_left: np.ndarray, width: int, k: int) -> np.ndarray:
     """Places of the kept k-grams. words_left: words from each place to the end of its text."""
     n = len(gram) - width + 1
