@@ -31,7 +31,7 @@ OCTAVE = 8            # distance bins per doubling of the squared distance
 TAIL = 1e-9           # chance that a row of an exactly normal group is rejected
 PSEUDO_WORDS = 50
 USUAL = (0.01, 0.15, 0.08)           # shares of symbols, repeated lines and repeated words that are nothing special
-FLOORS = (0.05, 0.25, 0.35, 0.35)    # statistics are not held more precisely than this
+FLOORS = (0.05, 0.25, 0.2, 0.2)      # statistics are not held more precisely than this; each alone can still pass the cut of TAIL
 _SYMBOL = bytes(1 if b in b"#*$%&|<>" else 0 for b in range(256))
 _LETTER = bytes(0 if WHITE[b] or b & 0xC0 == 0x80 else 1 for b in range(256))
 STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")

@@ -74,3 +74,17 @@ def test_keep_good_keeps_columns_and_empty_tables(odd):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(
         str(r.doc_id) for r in odd.collect() if not brute(r.text)[-1])
     assert quality.op1_quality(odd.limit(0)).collect() == []
+
+
+def test_repeats_alone_are_rejected(spark, make):
+    rng = random.Random(12)
+    rows = [(i, make(rng, rng.randint(60, 400)), "en", "web") for i in range(400)]
+    lines = [(1000 + i, "\n".join(f"lomine\nlomine\n{make(rng, 1)}{k}" for k in range(60)), "en", "web") for i in range(3)]
+    blocks = [make(rng, 90) for _ in range(3)]
+    words = [(2000 + i, " ".join([make(rng, 110), b, make(rng, 110), b]), "en", "web") for i, b in enumerate(blocks)]
+    got = {r.id: r for r in quality.judge(spark.createDataFrame(rows + lines + words, "doc_id long, text string, lang string, source string")).collect()}
+    for i in (1000, 1001, 1002):
+        assert got[i].n_dup_lines == 119 and got[i].n_repeat_words == 0 and not got[i].base_failed and not got[i].kept
+    for i in (2000, 2001, 2002):
+        assert got[i].n_dup_lines == 0 and got[i].n_repeat_words >= 180 and not got[i].base_failed and not got[i].kept
+    assert all(got[i].kept for i in range(400))
