@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lookthru.llm import (decontaminate, divergence, hosts, main_text, passages, pieces, private_data, quality, resampling, simhash,
-                          token_counts, toxicity)
+from lookthru.llm import (decontaminate, divergence, hosts, jaccard, main_text, passages, pieces, private_data, quality, resampling,
+                          simhash, token_counts, toxicity)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,10 +63,15 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.op12_resampling(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_jaccard_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.op13_jaccard(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_mcd, op2_skip_chain_crf, op3_host_reputation, op4_streaming_viterbi, op5_token_counts,
     op6_simhash_links, op7_cnn_toxicity, op8_tree_scoring, op9_shared_passages,
-    op10_winnowing, op11_source_divergence, op12_importance_resampling)}
+    op10_winnowing, op11_source_divergence, op12_importance_resampling,
+    op13_jaccard_partenum)}
 
 ORACLE: dict[str, str] = {"op10_winnowing": decontaminate.ORACLE, "op11_source_divergence": divergence.ORACLE,
-                          "op12_importance_resampling": resampling.ORACLE}
+                          "op12_importance_resampling": resampling.ORACLE, "op13_jaccard_partenum": jaccard.ORACLE}
