@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import marts, overlap, quality, resolve
-from ..operators.corporate import adjust_holdings
+from ..operators.corporate import adjust_holdings, read_actions
 from ..operators.disclosure import ADAPTERS, Adapter, parse_disclosures
 from ..sources import sinks
 from ..sources.grid import cell_grid
@@ -76,40 +76,66 @@ def month_of_file(grid: DataFrame, month: dt.date | None = None, start: dt.date
 def run_files(spark: SparkSession, src: str, out: str, companies: DataFrame, run_id: str,
               parsed_at: dt.datetime, month: dt.date | None = None,
               start: dt.date | None = None, end: dt.date | None = None, strict: bool = True,
-              actions: DataFrame | None = None, as_of: dt.date | None = None) -> dict[str, int]:
+              actions: DataFrame | str | None = None, as_of: dt.date | None = None) -> dict[str, int]:
     """Ingest a folder: one month, or with no month all months found in the file names.
 
     Bronze and file status are kept by month and run, so a run adds to what others left and
-    only replaces itself. Silver of the touched months is then built from all their bronze
-    rows: a refiled scheme replaces its own rows and leaves all others. Scheme-months that
-    fail a gate are kept per month and judging run and do not hold up others.
+    only replaces itself: months that a repeated run no longer has lose its old rows. Silver of
+    the touched months is then built from all their bronze rows: a refiled scheme replaces its
+    own rows and leaves all others.
+
+    The newest filing of a scheme-month counts, even if it fails a gate: its rows go to
+    the quarantine, kept by month and judging run, and silver has no older rows in their place. Others
+    aren't held up, and a month of which nothing passes has no silver folder.
+
+    ``actions`` may be a table or the path of a delimited file. If no file can be read, file status is written, which says
+    why, but neither bronze nor silver is touched.
     """
+    by_run = ("disclosure_month", "ingestion_run_id")
+    if isinstance(actions, str):
+        actions = read_actions(spark, actions)
     grid = cell_grid(spark, src)
     months = month_of_file(grid, month, start, end)
     bronze, _, status = ingest(grid, companies, months, run_id, parsed_at)
+    told_at, bronze_at, silver_at = f"{out}/file_status", f"{out}/bronze_holdings", f"{out}/silver_holdings"
+    written = sinks.write_by(status, told_at, "disclosure_month", "run_id")
+    sinks.drop_unwritten(spark, told_at, ("disclosure_month", "run_id"), written, {"run_id": {run_id}})
+    told = spark.read.schema(status.schema).parquet(told_at).filter(F.col("run_id") == run_id)
+    if told.filter(F.col("status") == "parsed").isEmpty():
+        raise NothingParsed(f"no file parsed from {src}")
     # Silver is read back from the written bronze, so files are parsed once.
-    sinks.write_by(bronze, f"{out}/bronze_holdings", "disclosure_month", "ingestion_run_id")
-    sinks.write_by(status, f"{out}/file_status", "disclosure_month", "run_id")
-    every = spark.read.schema(bronze.schema).parquet(f"{out}/bronze_holdings")
-    mine = F.col("ingestion_run_id") == run_id
-    touched = every.filter(mine).select("disclosure_month").distinct()
-    silver = silver_of(every.join(F.broadcast(touched), "disclosure_month", "left_semi").select(*bronze.columns),
-                       companies, actions, as_of)
+    written = sinks.write_by(bronze, bronze_at, *by_run)
+    if not written:
+        raise NothingParsed(f"no rows parsed from {src}")
+    removed = sinks.drop_unwritten(spark, bronze_at, by_run, written, {"ingestion_run_id": {run_id}})
+    touched = {values[0] for values in written | removed}
+    every = spark.read.schema(bronze.schema).parquet(bronze_at)
+    here = every.filter(F.col("disclosure_month").isin([dt.date.fromisoformat(m) for m in touched]))
+    silver = silver_of(here, companies, actions, as_of)
     good, bad = quality.promotable(silver) if strict else (silver, None)
-    sinks.write_by_month(good, f"{out}/silver_holdings")
-    told = spark.read.schema(status.schema).parquet(f"{out}/file_status").filter(F.col("run_id") == run_id)
-    counts = {"files": told.count(),
-              "silver_rows": spark.read.schema(good.schema).parquet(f"{out}/silver_holdings").filter(mine).count()}
+    kept = sinks.write_by_month(good, silver_at)
+    sinks.drop_unwritten(spark, silver_at, ("disclosure_month",), kept, {"disclosure_month": touched})
+    counts = {"files": told.count(), "silver_rows": spark.read.schema(good.schema).parquet(silver_at).filter(
+        F.col("ingestion_run_id") == run_id).count()}
     if bad is not None:
-        sinks.write_by(bad.withColumn("judged_by", F.lit(run_id)), f"{out}/quarantine_holdings",
-                       "disclosure_month", "judged_by")
-        counts["quarantined_rows"] = spark.read.schema(bad.withColumn("judged_by", F.lit(run_id)).schema).parquet(
-            f"{out}/quarantine_holdings").filter(F.col("judged_by") == run_id).count()
-    if every.filter(mine).isEmpty():
-        raise NothingParsed(f"no rows parsed from {src}")
+        judged = bad.withColumn("judged_by", F.lit(run_id))
+        bad_at, by_judge = f"{out}/quarantine_holdings", ("disclosure_month", "judged_by")
+        found = sinks.write_by(judged, bad_at, *by_judge)
+        sinks.drop_unwritten(spark, bad_at, by_judge, found, {"judged_by": {run_id}})
+        counts["quarantined_rows"] = spark.read.schema(judged.schema).parquet(bad_at).filter(F.col("judged_by") == run_id).count()
     return counts
 
 
+def published_order() -> dict[str, tuple]:
+    """The order of the published tables: a reader of one scheme or of the first rows opens few row groups."""
+    return {"schemes": ("scheme_name", "scheme_code"), "holdings": ("scheme_code", "company_id"),
+            "holdings_history": ("disclosure_month", "scheme_code", "company_id"),
+            "active_share": ("active_share_pct", "scheme_code"), "style_drift": ("scheme_code", "disclosure_month"),
+            "turnover": ("scheme_code", "disclosure_month"), "overlap": ("s1", "s2"),
+            "crowding": (F.col("value_cr").desc_nulls_last(), F.col("isin")),
+            "dtl": (F.col("days_to_liquidate").desc_nulls_last(), F.col("isin"))}
+
+
 def gold(holdings: DataFrame, schemes: DataFrame, companies: DataFrame, prices: DataFrame,
          benchmark: DataFrame, as_of: dt.date, caps: DataFrame | None = None) -> dict[str, DataFrame]:
     """The thirteen published tables as lazy DataFrames. Overlap is the sparse table of pairs that share a company; the
@@ -135,4 +161,4 @@ def publish_gold(spark: SparkSession, warehouse: str, out: str, benchmark: DataF
     """Open the warehouse, build every mart and write it; returns row counts."""
     t = sinks.required_tables(spark, warehouse, list(WAREHOUSE))
     return sinks.publish(gold(t["silver_holdings"], t["dim_scheme"], t["dim_company"],
-                              t["fact_price"], benchmark, as_of), out)
+                              t["fact_price"], benchmark, as_of), out, order=published_order())

@@ -1,25 +1,87 @@
-"""Writers: month-partitioned tables, marts with counts, compaction."""
+"""Writers: partitioned tables without stale folders, ordered tables, marts with counts, compaction by size."""
 
 from __future__ import annotations
 
+import json
+from urllib.parse import unquote
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from ..schemas import assert_readable, conform
 
 
-def write_by(df: DataFrame, path: str, *keys: str) -> None:
+#: How Spark names the folder of a null (fixed value).
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _metrics(seen: Observation) -> dict:
+    """What was observed during a write that has ended; nothing if its rows turned out to be none while it was planned."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {}
+
+
+def write_by(df: DataFrame, path: str, *keys: str) -> set[tuple[str | None, ...]]:
     """Write one folder per value of ``keys``; folders of values not in ``df`` stay as they are.
 
-    Rebalance rather than repartition: rows of a folder come together, but one far
-    larger than the rest is split over several tasks and files.
+    Returns the values written, as text, seen during the write itself. Rebalance rather than
+    repartition: rows of a folder come together, but one far larger than the rest is split
+    over several tasks and files.
+    """
+    seen = Observation()
+    named = F.struct(*[F.col(k).cast("string").alias(k) for k in keys])
+    (assert_readable(conform(df)).observe(seen, F.to_json(F.collect_set(named)).alias("keys")).hint("rebalance", *keys)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
+    return {tuple(row.get(k) for k in keys) for row in json.loads(_metrics(seen).get("keys") or "[]")}
+
+
+def write_by_month(df: DataFrame, path: str, month: str = "disclosure_month") -> set[tuple[str | None, ...]]:
+    return write_by(df, path, month)
+
+
+def folders(spark: SparkSession, path: str, *keys: str) -> dict[tuple[str | None, ...], str]:
+    """Values of ``keys``, as text, and the folder of each partition of a table; none if there is no table."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(
+        spark._jvm.org.apache.hadoop.fs.Path(root, "/".join(f"{k}=*" for k in keys)))
+    out = {}
+    for status in found or []:
+        folder = status.getPath().toString()
+        values = [unquote(part.split("=", 1)[1]) for part in folder.split("/")[-len(keys):]]
+        out[tuple(None if v == NULL_FOLDER else v for v in values)] = folder
+    return out
+
+
+def drop_unwritten(spark: SparkSession, path: str, keys: tuple[str, ...], written: set[tuple[str | None, ...]],
+                   within: dict[str, set[str | None]]) -> set[tuple[str | None, ...]]:
+    """Remove the folders whose ``within`` keys have one of the given values but that the last write gave no rows.
+
+    A dynamic overwrite leaves a partition alone that has become empty; after it, this takes away what the
+    write was to replace. Returns the values removed. Repeating it after a crash does no harm.
     """
-    (assert_readable(conform(df)).hint("rebalance", *keys).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
+    stale = {values: folder for values, folder in folders(spark, path, *keys).items() if values not in written and all(
+        values[keys.index(k)] in allowed for k, allowed in within.items())}
+    for folder in stale.values():
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return set(stale)
+
 
+def write_ordered(df: DataFrame, path: str, *order: str | Column) -> int:
+    """Write the rows in order: each file holds a range of its own, sorted within, so the order survives the
+    write and a filter on the leading column skips files and row groups. Returns the row count.
 
-def write_by_month(df: DataFrame, path: str, month: str = "disclosure_month") -> None:
-    write_by(df, path, month)
+    The ranges come from a sample of the rows, so a value that is very frequent takes a file of its own
+    but isn't split; later columns of ``order`` split it.
+    """
+    seen = Observation()
+    # Counted behind the shuffle: the sample reads the rows before it once more.
+    (assert_readable(conform(df)).repartitionByRange(*order).sortWithinPartitions(*order)
+     .observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path))
+    return int(_metrics(seen).get("n") or 0)
 
 
 def write_counted(df: DataFrame, path: str, fmt: str = "parquet") -> int:
@@ -27,11 +89,15 @@ def write_counted(df: DataFrame, path: str, fmt: str = "parquet") -> int:
     seen = Observation()
     (assert_readable(conform(df)).observe(seen, F.count(F.lit(1)).alias("n"))
      .write.mode("overwrite").format(fmt).save(path))
-    return int(seen.get["n"])
+    return int(_metrics(seen).get("n") or 0)
 
 
-def publish(tables: dict[str, DataFrame], out_dir: str, fmt: str = "parquet") -> dict[str, int]:
-    return {name: write_counted(df, f"{out_dir}/{name}", fmt) for name, df in tables.items()}
+def publish(tables: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
+            order: dict[str, tuple] | None = None) -> dict[str, int]:
+    """Write every table, those named in ``order`` in that order; returns row counts."""
+    order = order or {}
+    return {name: write_ordered(df, f"{out_dir}/{name}", *order[name]) if name in order
+            else write_counted(df, f"{out_dir}/{name}", fmt) for name, df in tables.items()}
 
 
 def read_months(spark: SparkSession, *paths: str) -> DataFrame:
@@ -58,3 +124,58 @@ def compact(spark: SparkSession, path: str, out: str, target_files: int,
     shuffle. The source is left alone, so a lost job loses nothing."""
     spark.read.format(fmt).load(path).coalesce(target_files).write.mode("overwrite").format(
         fmt).save(out)
+
+
+class RowsLost(RuntimeError):
+    """A rewritten table has not the rows of its source."""
+
+
+def packing(spark: SparkSession, path: str, target_bytes: int) -> DataFrame:
+    """(file, folder, start, bytes, width, bins, first): which part of its folder's bytes each file is, how wide a bin is,
+    how many bins the folder has and the number of the first of them, counted over the whole table.
+
+    The files are listed without reading them. A folder of b bytes gets round(b / target) bins of equal width, at least
+    one, so every bin is between two thirds and one and a half times the target, unless a folder is smaller.
+    """
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+              .select(F.col("path").alias("file"), F.col("length").alias("bytes")))
+    sized = listed.withColumn("folder", F.regexp_replace("file", "/[^/]*$", ""))
+    per = sized.groupBy("folder").agg(F.sum("bytes").alias("all"))
+    bins = F.greatest(F.lit(1), F.round(F.col("all") / target_bytes)).cast("bigint")
+    # One row per folder: its number is the sum of the bins of those before it.
+    every = Window.orderBy("folder").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("bins", bins).withColumn("first", F.coalesce(F.sum("bins").over(every), F.lit(0)))
+    before = Window.partitionBy("folder").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    return sized.join(per, "folder").select(
+        "file", "folder", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("start"), "bytes",
+        (F.col("all") / F.col("bins")).alias("width"), "bins", "first")
+
+
+def compact_by_size(spark: SparkSession, path: str, out: str, target_bytes: int = 128 << 20, *keys: str) -> int:
+    """Rewrite a Parquet table elsewhere with files of about ``target_bytes``, keeping its partition folders ``keys``.
+
+    Files are packed into bins by their listed sizes; one larger than a bin is spread over several by the numbers of
+    its rows, which don't change when a task is repeated. Each bin is one task and one file. The rows of the copy are counted folder by
+    folder against the source before the number of bins is returned; RowsLost is raised if they differ. The source is
+    left alone: swapping the folders is the caller's step.
+    """
+    plan = packing(spark, path, target_bytes)
+    total = plan.agg(F.max(F.col("first") + F.col("bins"))).first()[0]
+    if total is None:
+        return 0
+    table = spark.read.parquet(path)
+    spread = F.pmod(F.xxhash64(F.col("_metadata.row_index")), F.lit(1 << 20)) / float(1 << 20)
+    rows = table.select("*", F.col("_metadata.file_path").alias("_file"), spread.alias("_at"))
+    placed = rows.join(plan.withColumnRenamed("file", "_file"), "_file")
+    bin_ = F.least(F.floor((F.col("start") + F.col("_at") * F.col("bytes")) / F.col("width")), F.col("bins") - 1) + F.col("first")
+    packed = placed.withColumn("_bin", bin_.cast("int")).repartitionById(int(total), F.col("_bin")).select(*table.columns)
+    writer = packed.write.mode("overwrite")
+    (writer.partitionBy(*keys) if keys else writer).parquet(out)
+
+    def counts(at: str) -> DataFrame:
+        return spark.read.parquet(at).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+    source, copy = counts(path), counts(out)
+    if not source.exceptAll(copy).isEmpty() or not copy.exceptAll(source).isEmpty():
+        raise RowsLost(f"{out} has not the rows of {path}")
+    return int(total)

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 # The fields of a tick and the name of its topic.
 TICK_JSON = ("event_id STRING, isin STRING, token STRING, ltp DOUBLE, seq INT, "
              "event_time TIMESTAMP")
 TOPIC = "marketdata.ticks"
+LIVE_BUCKETS = 256    # folders of a look-through table that is read for live marks
 
 
 @dataclass(frozen=True)
@@ -102,8 +103,7 @@ class LateRows(StreamingQueryListener):
 
 def latest_prices(ticks: DataFrame) -> DataFrame:
     """Newest price per instrument; an aggregate, so only one row per key and task moves."""
-    return ticks.groupBy("isin").agg(
-        F.max_by("ltp", F.struct("event_time", "seq", "event_id")).alias("ltp"))
+    return newest_ticks(ticks).select("isin", "ltp")
 
 
 def live_mark(ticks: DataFrame, look_through: DataFrame, prices: DataFrame) -> DataFrame:
@@ -119,22 +119,70 @@ def live_mark(ticks: DataFrame, look_through: DataFrame, prices: DataFrame) -> D
         "portfolio_id", "company_id", "asset_class", "value", "ltp", value.alias("live_value"))
 
 
-def start_live_marks(ticks: DataFrame, look_through: str, prices: str, out: str,
-                     checkpoint: str, interval: str | None = "2 seconds") -> StreamingQuery:
-    """Per micro-batch, write the marks of the instruments that ticked, by batch id.
+def publish_live_mart(look_through: DataFrame, path: str, buckets: int = LIVE_BUCKETS) -> None:
+    """Write a look-through table for live marks: a folder per bucket of companies, sorted by company within.
 
-    ``look_through`` and ``prices`` are the paths of published tables: a batch reads the rows
-    of the ticked companies and never builds the tables anew.
+    A batch of ticks then opens the folders of the ticked companies alone. A company is in one bucket,
+    but the rows of a very common one are spread over several files of it.
+    """
+    keyed = look_through.withColumn("company_bucket", company_bucket(F.col("company_id"), buckets))
+    (keyed.hint("rebalance", "company_bucket").sortWithinPartitions("company_bucket", "company_id")
+     .write.mode("overwrite").partitionBy("company_bucket").parquet(path))
+
+
+def company_bucket(company: Column, buckets: int = LIVE_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(company), F.lit(buckets)).cast("int")
+
+
+def newest_ticks(ticks: DataFrame) -> DataFrame:
+    """Newest tick of each instrument (isin, ltp, event_time, seq, event_id).
+
+    On a stream this is a keyed state: one row per instrument, kept across batches and restarts, so a tick that comes
+    in a later batch but is older than the state changes nothing. Copies of a tick change nothing either.
+    """
+    tick = F.struct("event_time", "seq", "event_id", "ltp")
+    return (ticks.filter("isin is not null").groupBy("isin").agg(F.max(tick).alias("t"))
+            .select("isin", "t.ltp", "t.event_time", "t.seq", "t.event_id"))
+
+
+def touched_rows(look_through: DataFrame, newest: DataFrame, buckets: int = LIVE_BUCKETS) -> DataFrame:
+    """The look-through rows of the companies in ``newest``. Of a table in buckets only their folders are read; their
+    numbers are collected, at most ``buckets``."""
+    company = newest.select(F.col("isin").alias("company_id")).distinct()
+    if "company_bucket" in look_through.columns:
+        hit = [r[0] for r in company.select(company_bucket(F.col("company_id"), buckets)).distinct().collect()]
+        look_through = look_through.filter(F.col("company_bucket").isin(hit))
+    return look_through.join(company, "company_id", "left_semi")
+
+
+def start_live_marks(ticks: DataFrame, look_through: str, prices: str, out: str, checkpoint: str,
+                     interval: str | None = "2 seconds", buckets: int = LIVE_BUCKETS) -> StreamingQuery:
+    """Per micro-batch, write the marks of the instruments that ticked, by batch id, at their newest price so far.
+
+    ``look_through`` and ``prices`` are the paths of published tables (``publish_live_mart`` writes the first one in buckets).
+    The newest tick of every instrument is the state of the query, so marks never go back to an older tick. A
+    repeated batch replaces its own folder.
     """
 
     def mark(batch: DataFrame, batch_id: int) -> None:
         read = batch.sparkSession.read
-        touched = batch.select(F.col("isin").alias("company_id")).distinct()
-        held = read.parquet(look_through).join(touched, "company_id", "left_semi")
-        live_mark(batch, held, read.parquet(prices)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        # Kept, as each use would go through the state again; dealt anew, as the order of a state can't be kept.
+        newest = batch.repartition("isin").persist()
+        try:
+            held = touched_rows(read.parquet(look_through), newest, buckets)
+            live_mark(newest, held, read.parquet(prices)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        finally:
+            newest.unpersist()
 
     trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
-    return ticks.writeStream.trigger(**trigger).option("checkpointLocation", checkpoint).foreachBatch(mark).start()
+    return (newest_ticks(ticks).writeStream.outputMode("update").trigger(**trigger)
+            .option("checkpointLocation", checkpoint).foreachBatch(mark).start())
+
+
+def current_marks(marks: DataFrame) -> DataFrame:
+    """The last mark of each row that ever ticked, from all batches that ``start_live_marks`` has written."""
+    keys, rest = ["portfolio_id", "company_id", "asset_class"], ["value", "ltp", "live_value"]
+    return (marks.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("m")).select(*keys, "m.*"))
 
 
 def recovery_diff(expected: DataFrame, delivered: DataFrame, dead: DataFrame) -> DataFrame:
