@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import identifiers as idf, similarity as sim
+from ..functions import identifiers as idf
+from .names import best_choices
 from .quality import NATURAL_KEY
 from .tiles import spread_nulls
 
@@ -15,46 +16,11 @@ ANY_BLOCK = "*"
 
 def best_match(names: DataFrame, choices: DataFrame, threshold: float,
                blocked: bool = False) -> DataFrame:
-    """Best choice at or above the threshold for each name, exactly, without all pairs.
+    """Best choice at or above the threshold for each name, exactly (see ``names.best_choices``).
 
-    ``names`` and ``choices`` have a distinct column ``n``; with ``blocked`` also a
-    column ``block`` that must be equal. Names meet only where they share a match key
-    (see ``match_keys``: nothing at or above the threshold is missed) and have close
-    enough lengths. Ties go to the alphabetically first choice.
+    A hair is taken off the threshold, so that float error loses nothing at it.
     """
-    where = ["block"] if blocked else []
-    words = sim.sort_words(F.col("n"))
-    same = F.concat(F.lit("="), F.col("_s"))
-    # How many choices have a member: one small row, at most letters times repeats of a letter.
-    met_in = choices.select(F.explode(sim.members(sim.characters(words))).alias("m")).groupBy("m").agg(
-        F.count(F.lit(1)).alias("k"))
-    counts = met_in.select(F.map_from_entries(F.collect_list(F.struct("m", "k")))).scalar()
-    keys = sim.match_keys(F.col("_s"), threshold, F.col("_counts"))
-    right = choices.withColumn("_s", words).withColumn("_counts", counts).select(
-        *where, F.col("n").alias("r_n"), F.col("_s").alias("r_s"),
-        F.explode(F.array_union(F.array(same), keys)).alias("_key"))
-    # A name with the same words as a choice needs no other key: most spelling variants
-    # end here, and the names are read only once.
-    known = choices.select(*where, words.alias("_s"), F.lit(True).alias("_eq")).distinct()
-    left = names.withColumn("_s", words).join(known, [*where, "_s"], "left").withColumn("_counts", counts).select(
-        *where, F.col("n").alias("l_n"), F.col("_s").alias("l_s"),
-        F.explode(F.when(F.col("_eq"), F.array(same)).otherwise(keys)).alias("_key"))
-    on = ["_key", *where]
-    la, lb = F.length("l_s"), F.length("r_s")
-    t = F.lit(threshold)
-    met = left.join(right, on)
-    close = met.filter(F.least(la, lb) * 200 >= t * (la + lb))
-    # Words as aggregates, not as keys: the costly score must not be pushed below this
-    # step, where a pair still has one row per shared key.
-    pairs = close.groupBy("l_n", "r_n").agg(
-        F.first("l_s").alias("l_s"), F.first("r_s").alias("r_s"))
-    worse = -2.0 * sim.lcs_length(F.col("l_s"), F.col("r_s")) / (
-        F.length("l_s") + F.length("r_s"))
-    best = pairs.groupBy(F.col("l_n").alias("n")).agg(
-        F.min(F.struct(worse.alias("worse"), F.col("r_n").alias("match"))).alias("b"))
-    score = -F.col("b.worse")
-    return best.filter(score * 100 >= threshold - 1e-9).select(
-        "n", score.alias("score"), F.col("b.match").alias("match"))
+    return best_choices(names, choices, (threshold - 1e-9) / 100, blocked).drop("scored")
 
 
 def resolve_names(names: DataFrame, companies: DataFrame,
@@ -123,8 +89,7 @@ def dedup_latest(df: DataFrame, key: tuple[str, ...] = NATURAL_KEY) -> DataFrame
     with very many copies costs one row per task.
     """
     rest = [c for c in df.columns if c not in key]
-    rank = F.struct("parsed_at", "source_file", "ingestion_run_id",
-                    F.to_json(F.struct(*rest)))
+    rank = F.struct("parsed_at", "source_file", "ingestion_run_id", F.xxhash64(*rest))
     return (df.groupBy(*key).agg(F.max_by(F.struct(*rest), rank).alias("_r"))
             .select(*key, "_r.*").select(*df.columns))
 
@@ -154,41 +119,23 @@ def scheme_master(nav: DataFrame) -> DataFrame:
         F.count("scheme_code").alias("plans"))
 
 
-def match_schemes(names: DataFrame, master: DataFrame, threshold: float = SCHEME_THRESHOLD,
-                  score_unmatched: bool = False) -> DataFrame:
+def match_schemes(names: DataFrame, master: DataFrame, threshold: float = SCHEME_THRESHOLD) -> DataFrame:
     """Match disclosure scheme names (column ``scheme_name``) to the scheme master.
 
-    Every name is kept. A name below the threshold has no match and, by default, no
-    score; ``score_unmatched`` compares those few names with every master row, in tiles,
-    to report their best score too.
+    Every name is kept with its best score over all master rows, 0 if there is nothing to compare. A
+    name below the threshold has a score, but no match.
     """
     raw = names.select(F.col("scheme_name").alias("disclosure_scheme_name")).distinct().withColumn(
         "n", idf.canonical_scheme_name(F.col("disclosure_scheme_name")))
     choices = master.select(F.col("canonical_name").alias("n")).filter(F.col("n") != "").distinct()
-    distinct = raw.select("n").filter(F.col("n") != "").distinct()
-    hits = best_match(distinct, choices, threshold)
+    best = best_choices(raw.select("n").filter(F.col("n") != "").distinct(), choices)
+    hits = best.select("n", "score", F.when(F.col("score") * 100 >= threshold - 1e-9, F.col("match")).alias("match"))
     info = master.select(F.col("canonical_name").alias("match"), "scheme_code",
                          F.col("scheme_name").alias("matched_name"), "amc_name", "category")
     out = raw.join(hits, "n", "left").join(info, "match", "left")
-    score = F.col("score")
-    if score_unmatched:
-        misses = distinct.join(hits, "n", "left_anti")
-        out = out.join(_best_scores(misses, choices), "n", "left")
-        score = F.coalesce("score", "below", F.lit(0.0))
     return out.select("disclosure_scheme_name", F.col("n").alias("canonical_name"),
                       "scheme_code", "matched_name", "amc_name", "category",
-                      score.alias("match_score"), F.col("score").isNotNull().alias("matched"))
-
-
-def _best_scores(names: DataFrame, choices: DataFrame, tiles: int = 64) -> DataFrame:
-    """Best score of each name over all choices; partial maxima keep the shuffle small."""
-    cut = F.pmod(F.xxhash64("n"), F.lit(tiles)).cast("int")
-    left = names.select("n", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("_t"),
-                        sim.sort_words(F.col("n")).alias("l_s"))
-    right = choices.select(cut.alias("_t"), sim.sort_words(F.col("n")).alias("r_s"))
-    score = (sim.lcs_length(F.col("l_s"), F.col("r_s")) * 2
-             / (F.length("l_s") + F.length("r_s")))
-    return left.join(right, "_t").groupBy("n").agg(F.max(score).alias("below"))
+                      F.coalesce("score", F.lit(0.0)).alias("match_score"), F.col("match").isNotNull().alias("matched"))
 
 
 def ingest_stats(silver: DataFrame) -> DataFrame:

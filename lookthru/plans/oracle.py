@@ -421,8 +421,9 @@ _ORACLE: dict[str, str] = {
                     "ELSE 'Zzz Unknown ' || s_suppkey END AS raw FROM supplier), canon AS (SELECT raw, " + _canonical("raw") + " AS n FROM asked), "
                     "compared AS (SELECT raw, canonical_name AS match, scheme_code, CAST(2 * " + _lcs("_a", "_b") + " AS DOUBLE) / (length(_a) + length(_b)) AS score "
                     "FROM (SELECT raw, " + _sorted_words("n") + " AS _a FROM canon WHERE n <> ''), (SELECT *, " + _sorted_words("canonical_name") + " AS _b FROM master WHERE canonical_name <> '')), "
-                    "best AS (SELECT * FROM compared WHERE score * 100 >= 82 - 1e-9 QUALIFY row_number() OVER (PARTITION BY raw ORDER BY score DESC, match) = 1) "
-                    "SELECT canon.raw AS disclosure_scheme_name, n AS canonical_name, scheme_code, score AS match_score, score IS NOT NULL AS matched FROM canon LEFT JOIN best USING (raw)",
+                    "best AS (SELECT *, score * 100 >= 82 - 1e-9 AS hit FROM compared QUALIFY row_number() OVER (PARTITION BY raw ORDER BY score DESC, match) = 1) "
+                    "SELECT canon.raw AS disclosure_scheme_name, n AS canonical_name, CASE WHEN hit THEN scheme_code END AS scheme_code, coalesce(score, 0) AS match_score, "
+                    "coalesce(hit, false) AS matched FROM canon LEFT JOIN best USING (raw)",
     "corp_factors": "WITH {actions}, a AS (SELECT * FROM actions WHERE ex_date <= DATE '2001-12-01') SELECT isin, ex_date, action_type, ratio, "
                     "product(ratio) OVER (PARTITION BY isin ORDER BY ex_date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS cumulative_factor FROM a",
     "corp_adjust": "WITH {holdings}, {actions}, a AS (SELECT * FROM actions WHERE ex_date <= DATE '2001-12-01'), f AS ("

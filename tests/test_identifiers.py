@@ -1,12 +1,13 @@
 import random
 import string
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from lookthru.functions import cells as C, identifiers as idf, privacy, similarity as sim
-from lookthru.operators import resolve
+from lookthru.operators import names, resolve
 from lookthru.operators.statements import statement_holdings
 from lookthru.sources.generate import isin_from
 
@@ -145,19 +146,40 @@ def test_best_match_misses_nothing(spark, threshold):
     assert got == want
 
 
-def test_names_of_one_family_do_not_all_meet(spark):
-    df = spark.createDataFrame([(f"supplier number {i:06}",) for i in range(0, 900_000, 1501)], "n string")
-    chars = sim.characters(sim.sort_words(F.col("n")))
-    counts = df.select(F.explode(sim.members(chars)).alias("m")).groupBy("m").agg(F.count("*").alias("k"))
-    counts = counts.select(F.map_from_entries(F.collect_list(F.struct("m", "k")))).scalar()
-    keys = df.withColumn("c", counts).select(F.explode(sim.match_keys(sim.sort_words(F.col("n")), 95.0, F.col("c"))).alias("key"))
-    met = keys.groupBy("key").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
-    assert met < 0.5 * df.count() ** 2
+def score(a, b):
+    a, b = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
+    return 2 * lcs(a, b) / (len(a) + len(b))
 
 
-def test_match_keys_refuse_a_threshold_without_guarantee():
-    with pytest.raises(ValueError):
-        sim.match_keys(F.lit("a"), 60.0, F.lit(None))
+def test_best_score_of_every_name_in_bounded_units(spark, monkeypatch):
+    """No threshold: names of one family, long ones, ones like nothing. Few choices are scored, whatever the cut."""
+    rng = random.Random(9)
+    choices = sorted({f"{rng.choice(['north', 'south', 'polar'])} {rng.choice(['growth', 'value', 'mid cap'])} fund {i:03}" for i in range(0, 900, 7)}
+                     | {words(rng, 60) for _ in range(4)})
+    asked = sorted({"noth grwth fund 0077", "fund 119 souht vlaue", "zzzz", "\u00e9\u4e2d", choices[3], words(rng, 50), " ".join(reversed(choices[9].split()))})
+    want = {n: min((-score(n, c), c) for c in choices) for n in asked}
+    n = spark.createDataFrame([(x,) for x in asked], "n string")
+    c = spark.createDataFrame([(x,) for x in choices], "n string")
+    for per_unit in (names.CHOICES_PER_UNIT, 40):
+        monkeypatch.setattr(names, "CHOICES_PER_UNIT", per_unit)
+        monkeypatch.setattr(names, "NAMES_PER_UNIT", 3 if per_unit == 40 else 1024)
+        got = {r.n: r for r in names.best_choices(n, c).collect()}
+        assert {k: (-r.score, r.match) for k, r in got.items()} == want
+    monkeypatch.setattr(names, "FIRST", 8)
+    block = names.Choices(choices, [" ".join(sorted(x.split())) for x in choices])
+    scored = [block.best(" ".join(sorted(x.split())))[2] for x in asked if x not in ("zzzz", "\u00e9\u4e2d")]
+    assert sum(scored) < 0.6 * len(choices) * len(scored)
+
+
+def test_names_of_three_hundred_characters(spark):
+    rng = random.Random(10)
+    pairs = [("".join(rng.choices("abcd ", k=n)), "".join(rng.choices("abcd ", k=m))) for n, m in ((300, 310), (61, 300), (62, 62), (63, 64), (124, 125), (1, 300))]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    got = df.select("i", sim.lcs_length(F.col("a"), F.col("b")).alias("l")).orderBy("i").collect()
+    assert [r.l for r in got] == [lcs(a, b) for a, b in pairs]
+    for a, b in pairs:
+        block = names.Choices([b, "x"], [b, "x"])
+        assert block.lcs(block._letters(names._codes(a)), np.array([0, 1])).tolist() == [lcs(a, b), lcs(a, "x")]
 
 
 def test_redaction(spark):

@@ -236,11 +236,12 @@ def test_scheme_master_and_match(spark):
     assert {(r.canonical_name, r.scheme_code, r.plans) for r in master.collect()} == {
         ("alpha fund", "1", 2), ("beta mid cap fund", "3", 1)}
     asked = spark.createDataFrame([("Beta Mid Capp Fund",), ("Gamma",)], "scheme_name string")
-    got = {r.disclosure_scheme_name: r for r in resolve.match_schemes(asked, master, score_unmatched=True).collect()}
+    got = {r.disclosure_scheme_name: r for r in resolve.match_schemes(asked, master).collect()}
     assert got["Beta Mid Capp Fund"].scheme_code == "3" and got["Beta Mid Capp Fund"].matched
     assert not got["Gamma"].matched and 0 < got["Gamma"].match_score < 0.82
-    plain = {r.disclosure_scheme_name: r.match_score for r in resolve.match_schemes(asked, master).collect()}
-    assert plain["Gamma"] is None
+    assert got["Gamma"].scheme_code is None
+    nothing = resolve.match_schemes(asked, master.limit(0)).collect()
+    assert {(r.match_score, r.matched) for r in nothing} == {(0.0, False)}
 
 
 def test_dedup_keeps_the_latest_parse_also_for_null_keys(spark):
