@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..schemas import EXACT
 from .marts import rounded
 from .overlap import exact_weight, in_month
+from .tiles import fragmented, pair_condition, tiled
 
 MONEY = "decimal(18,2)"
 TOP_ROWS = 15
@@ -48,8 +49,10 @@ def look_through(positions: DataFrame, holdings: DataFrame, month=None) -> DataF
             .groupBy("scheme_code", "company_id", "asset_class")
             .agg(F.sum(exact_weight()).cast(EXACT).alias("w"),
                  F.min("instrument_name_raw").alias("name")))
+    # A scheme that very many portfolios own is cut by its owners.
+    owners, parts = fragmented(owned, held, ["scheme_code"], "portfolio_id")
     # v * w stays an exact decimal until the one division per output row.
-    rupees = (owned.join(held, "scheme_code")
+    rupees = (owners.join(parts, ["scheme_code", "_f"])
               .groupBy("portfolio_id", "company_id", "asset_class")
               .agg(F.sum((F.col("v") * F.col("w")).cast("decimal(32,8)")).alias("vw"),
                    F.min("name").alias("instrument_name_raw")))
@@ -118,8 +121,6 @@ def portfolio_overlaps(positions: DataFrame, overlap: DataFrame, schemes: DataFr
     ``overlap`` is the sparse pair table. The pairs of a portfolio are cut into tiles
     so that a portfolio of very many schemes is spread over tasks.
     """
-    from .tiles import pair_condition, tiled
-
     owned = positions.filter(F.col("value") > 0).select("portfolio_id", "scheme_code").distinct()
     t = tiled(owned, ["portfolio_id"], "scheme_code")
     pairs = t.alias("a").join(t.alias("b"), pair_condition(

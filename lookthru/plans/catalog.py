@@ -54,7 +54,8 @@ def _grid(spark, d):
 
 @query
 def cell_grid(spark, d):
-    return _grid(spark, d).select(
+    """By the reader of files, with quotes over lines and splits; the other queries cut the lines of the feed as columns."""
+    return grid.grid_of_text(feeds.sheet_lines(spark, d)).select(
         "source_file", "row_idx", F.size("cells").alias("width"), F.get("cells", 0).alias("first_cell"),
         F.get("cells", 2).alias("third_cell"))
 

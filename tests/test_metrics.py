@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from lookthru.operators import marts, overlap, portfolio
-from lookthru.operators.tiles import tiled
+from lookthru.operators.tiles import fragmented, tiled
 
 M1, M2, M3 = dt.date(2026, 1, 1), dt.date(2026, 2, 1), dt.date(2026, 4, 1)
 H = "scheme_code string, company_id string, weight_pct double, disclosure_month date"
@@ -56,6 +56,28 @@ def test_tiles_bound_a_hot_key(spark, monkeypatch):
     assert all(r["count"] == 1 for r in sizes if r.k != "hot")
 
 
+def test_a_hot_key_is_cut_on_one_side(spark, monkeypatch):
+    monkeypatch.setattr("lookthru.operators.tiles.FRAGMENT_ROWS", 50)
+    owners = spark.range(2000).selectExpr("'hot' as k", "id as o").unionByName(spark.range(30).selectExpr("concat('c', id) as k", "id as o"))
+    held = spark.range(7).selectExpr("'hot' as k", "id as c").unionByName(spark.range(30).selectExpr("concat('c', id) as k", "id as c"))
+    held = held.unionByName(spark.createDataFrame([("nobody", 1), (None, 1)], "k string, c long"))
+    large, small = fragmented(owners, held, ["k"], "o")
+    sizes = large.groupBy("k", "_f").count().collect()
+    assert max(r["count"] for r in sizes) < 100 and len([r for r in sizes if r.k == "hot"]) == 40
+    assert small.filter("k = 'hot'").count() == 7 * 40 and small.filter("k <> 'hot'").count() == 30
+    met = sorted(map(tuple, large.join(small, ["k", "_f"]).select("k", "o", "c").collect()))
+    assert met == sorted(map(tuple, owners.join(held, "k").select("k", "o", "c").collect()))
+
+
+def test_look_through_of_a_scheme_that_all_own(spark, monkeypatch):
+    h = holdings(spark, [("A", f"X{i}", 10.0) for i in range(10)] + [("B", "X0", 100.0)])
+    p = spark.range(300).selectExpr("concat('P', id) as portfolio_id", "'A' as scheme_code", "double(id + 1) as value")
+    p = p.unionByName(p.filter("value < 5").selectExpr("portfolio_id", "'B' as scheme_code", "value"))
+    whole = sorted(map(tuple, portfolio.look_through(p, h).collect()))
+    monkeypatch.setattr("lookthru.operators.tiles.FRAGMENT_ROWS", 8)
+    assert sorted(map(tuple, portfolio.look_through(p, h).collect())) == whole and len(whole) == 3000
+
+
 def test_overlap_full_has_every_ordered_pair(spark):
     h = holdings(spark, [("A", "X", 60.0), ("B", "X", 12.345)])
     schemes = spark.createDataFrame([("A",), ("B",), ("C",)], "scheme_code string")
