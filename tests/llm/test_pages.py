@@ -101,3 +101,44 @@ def test_given_pages(spark, data):
     odd = spark.createDataFrame([(1, "u", None, 1), (1, "u", None, 1), (None, None, "<p>x", 2)], "page_id long, url string, html string, id int")
     assert sorted(str(tuple(r)) for r in main_text.op8_main_text(odd).collect()) == sorted(str(x) for x in [(1, "u", "", 0), (1, "u", "", 0), (None, None, "x", 1)])
     assert main_text.op8_main_text(odd.limit(0)).collect() == []
+
+
+LONG = "Long text, with commas, and more words here to score. " * 6
+
+
+def page(body):
+    return f"<html><body><nav><a href=1>menu</a></nav>{body}<footer>foot</footer></body></html>"
+
+
+@pytest.mark.parametrize("wrapper", ["<div class='content with-sidebar'>%s</div>", "<div class='page no-comments'>%s</div>", "<div class='article has-header'>%s</div>",
+                                     "<div class='warning-free'>%s</div>", "<section class='post-hero header-image'>%s</section>", "<form action=x>%s<input name=a><button>Go</button></form>",
+                                     "<div class='header'>%s</div>", "<body class='sidebar'>%s"])
+def test_wrappers_of_the_whole_page_stay(wrapper):
+    text = " ".join(LONG.split())
+    assert main_text.extract(page(wrapper % f"<p>{LONG}</p><p>{LONG}</p>")) == f"{text} {text}"
+
+
+def test_nothing_inside_the_article_is_left_out_for_its_links():
+    html = page(f"<article><h1>Head</h1><p>{LONG}</p><p><a href=x>a paragraph that is mostly a link</a> indeed</p><p>{LONG}</p>"
+                "<ul><li><a href=1>Ref one</a></li><li><a href=2>Ref two</a></li></ul><p>End.</p></article>")
+    text = " ".join(LONG.split())
+    assert main_text.extract(html) == f"Head {text} a paragraph that is mostly a link indeed {text} Ref one Ref two End."
+
+
+def test_short_siblings_of_the_same_kind_and_headings_between_stay():
+    text = " ".join(LONG.split())
+    html = page(f"<div id=c><h2>First</h2><div class=part><p>{LONG}</p></div><h2>Second</h2><div class=part><p>{LONG}{LONG}</p></div>"
+                "<div class=links><a href=1>one</a> <a href=2>two</a></div><div class=part><p>Short end.</p></div></div>")
+    assert main_text.extract(html) == f"First {text} Second {text} {text} Short end."
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "post-comments", "commentlist big", "user-comments"])
+def test_reader_comments_are_left_out_however_long(name):
+    html = page(f"<div class=story><p>{LONG}</p></div><div class='{name}'><p>{LONG * 9}</p><p>{LONG * 9}</p></div>")
+    assert main_text.extract(html) == " ".join(LONG.split())
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-footer", "left-sidebar", "cookie-notice", "ad", "ad-slot", "share_buttons", "newsletter-signup", "related"])
+def test_named_boxes_are_left_out(name):
+    html = page(f"<div class=story><p>{LONG}</p><div class='{name}'><p>Box text, of some length, in here.</p></div></div>")
+    assert main_text.extract(html) == " ".join(LONG.split())
