@@ -93,42 +93,56 @@ def _layout(key: Column, part: int) -> Column:
 
 
 def sheet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One delimited sheet per scheme and month in eight layouts, as (source_file, row_idx,
-    line). Sheets have a preamble, a title row, a header, holdings, a total and a footnote."""
+    """One delimited sheet per scheme and month in eight layouts, as (source_file, row_idx, line).
+
+    Every sheet has a first line, up to twelve pages of legal text, a title, a date, a header, holdings, a total and a footnote.
+    Northstar stacks two schemes, each under its own title and header; kaveri and zenith have no title; sentinel has an
+    industry in place of the identifier; zenith has its columns in another order; memo is no disclosure.
+    """
     h = holdings(spark, sf_dir).join(company_isins(spark, sf_dir), "company_id")
     key = F.substring("scheme_code", 2, 10).cast("int")
     name = F.concat(_layout(key, 0), F.lit("_"), "scheme_code", F.lit("_"),
                     F.date_format("disclosure_month", "yyyyMM"), F.lit(".csv"))
     rows = h.withColumn("key", key).withColumn("source_file", name)
+    kind, pages = F.col("key") % 8, F.floor(F.col("key") / 8).cast("int") % 13
     # A sheet has at most one row per company.
-    w = Window.partitionBy("source_file").orderBy("company_id")
-    comma = F.lit(",")
-    quantity = F.format_string('"%,.0f"', F.col("quantity"))
-    mv = F.col("market_value").cast(MONEY).cast("string")
-    weight = F.concat(F.col("weight_pct").cast("string"),
-                      F.when(F.col("key") % 8 == 2, "%").otherwise(""))
-    isin = F.when(F.col("key") % 8 == 4, F.lit("")).otherwise(F.col("isin"))
-    body = rows.select("source_file", "key", (F.row_number().over(w) + 3).alias("row_idx"),
-                       F.concat("instrument_name_raw", comma, isin, comma, quantity, comma, mv,
-                                comma, weight).alias("line"))
-    files = rows.groupBy("source_file", "key", "scheme_code").agg(F.count(F.lit(1)).alias("n"))
-    unit = _layout(F.col("key"), 1)
-    isin_head = F.when(F.col("key") % 8 == 4, F.lit("Industry")).otherwise(F.lit("ISIN"))
-    head = F.concat(F.lit("Name of the Instrument,"), isin_head, F.lit(",Quantity,Market Value "),
-                    unit, F.lit(",% to NAV"))
-    memo = F.col("key") % 8 == 7
-
-    def at(row: int | Column, line: str | Column) -> Column:
+    sheet = Window.partitionBy("source_file")
+    rows = rows.withColumns({"r": F.row_number().over(sheet.orderBy("company_id")), "n": F.count(F.lit(1)).over(sheet)})
+    upper = F.ceil(F.col("n") / 2).cast("int")  # holdings of the first scheme of a stacked sheet
+    stacked = (kind == 1) & (F.col("n") > upper)
+    text = {"name": F.col("instrument_name_raw"), "isin": F.when(kind == 4, F.lit("")).otherwise(F.col("isin")),
+            "quantity": F.format_string('"%,.0f"', F.col("quantity")), "value": F.col("market_value").cast(MONEY).cast("string"),
+            "weight": F.concat(F.col("weight_pct").cast("string"), F.when(kind == 2, "%").otherwise(""))}
+    head = {"name": F.when(kind == 5, "Security Name").otherwise("Name of the Instrument"),
+            "isin": F.when(kind == 4, "Industry").when(kind == 5, "ISIN Code").otherwise("ISIN"), "quantity": F.lit("Quantity"),
+            "value": F.concat(F.lit("Market Value "), _layout(F.col("key"), 1)), "weight": F.lit("% to NAV")}
+
+    def line(cells: dict[str, Column]) -> Column:
+        usual = F.concat_ws(",", *[cells[c] for c in ("name", "isin", "quantity", "value", "weight")])
+        return F.when(kind == 5, F.concat_ws(",", *[cells[c] for c in ("weight", "name", "isin", "value", "quantity")])).otherwise(usual)
+
+    below = F.when(stacked & (F.col("r") > upper), 2).otherwise(0)
+    body = rows.select("source_file", (pages + 3 + F.col("r") + below).alias("row_idx"), line(text).alias("line"))
+    files = rows.groupBy("source_file", "key", "scheme_code", "n").agg(F.count(F.lit(1)))
+
+    def at(row: int | Column, text: str | Column) -> Column:
         i = F.lit(row) if isinstance(row, int) else row.cast("int")
-        return F.struct(i.alias("row_idx"), (F.lit(line) if isinstance(line, str) else line).alias("line"))
+        return F.struct(i.alias("row_idx"), (F.lit(text) if isinstance(text, str) else text).alias("line"))
+
+    def title(part: str) -> Column:
+        return F.concat(F.lit("Scheme "), "scheme_code", F.lit(f"{part}  Fund,,,,"))
 
-    frame = files.select("source_file", F.explode(F.array(
+    end = pages + 4 + F.col("n") + F.when(stacked, 2).otherwise(0)
+    legal = F.transform(F.filter(F.sequence(F.lit(0), pages), lambda i: i > 0), lambda i: at(i, F.concat(F.lit("Legal text page "), i.cast("string"))))
+    second = F.when(stacked, F.array(at(pages + 4 + upper, title(" B")), at(pages + 5 + upper, line(head)))).otherwise(F.array().cast(
+        "array<struct<row_idx:int,line:string>>"))
+    frame = files.select("source_file", F.explode(F.concat(legal, second, F.array(
         at(0, "Monthly portfolio statement"),
-        at(1, F.concat(F.lit("Scheme "), "scheme_code", F.lit("  Fund,,,,"))),
-        at(2, "As on month end"), at(3, F.when(memo, F.lit("hello,world")).otherwise(head)),
-        at(F.col("n") + 4, "Grand Total,,,1.00,100.0"),
-        at(F.col("n") + 5, "Notes: figures are rounded,,,,"))).alias("r")).select("source_file", "r.*")
-    return frame.unionByName(body.drop("key")).select("source_file", "row_idx", "line")
+        at(pages + 1, F.when(kind.isin(3, 5), "Position list").otherwise(title(""))),
+        at(pages + 2, "As on month end"), at(pages + 3, F.when(kind == 7, F.lit("hello,world")).otherwise(line(head))),
+        at(end, "Grand Total,,,1.00,100.0"),
+        at(end + 1, "Notes: figures are rounded,,,,")))).alias("r")).select("source_file", "r.*")
+    return frame.unionByName(body).select("source_file", "row_idx", "line")
 
 
 def nav_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

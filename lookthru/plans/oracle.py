@@ -231,10 +231,12 @@ PIECES["resolved"] = PIECES["bronze"] + ", " + PIECES["companies"] + """, listed
 PIECES["sheets"] = PIECES["holdings"] + ", " + PIECES["isins"] + """, layout(k, stem, unit, mult) AS (
   VALUES (0, 'bluewater', '(Rs. in Lakhs)', 1e5), (1, 'northstar', '', 1), (2, 'meridian', '', 1),
   (3, 'kaveri', '(Rs. in Crores)', 1e7), (4, 'sentinel', '', 1), (5, 'zenith', '(Rs Lakhs)', 1e5),
-  (6, 'harbour', '', 1), (7, 'memo', '', 1)), sheet AS (
-  SELECT h.*, k, unit, mult, stem, isin AS own,
+  (6, 'harbour', '', 1), (7, 'memo', '', 1)), filed AS (
+  SELECT h.*, k, unit, mult, stem, isin AS own, CAST(substr(scheme_code, 2) AS INT) // 8 % 13 AS pages,
     stem || '_' || scheme_code || '_' || strftime(disclosure_month, '%Y%m') || '.csv' AS source_file
-  FROM holdings h JOIN isins USING (company_id) JOIN layout ON CAST(substr(scheme_code, 2) AS INT) % 8 = k)"""
+  FROM holdings h JOIN isins USING (company_id) JOIN layout ON CAST(substr(scheme_code, 2) AS INT) % 8 = k), sheet AS (
+  SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY company_id) AS r, count(*) OVER (PARTITION BY source_file) AS n,
+    (count(*) OVER (PARTITION BY source_file) + 1) // 2 AS upper_n FROM filed)"""
 
 PIECES["nav"] = """plans(i, plan) AS (VALUES (0, ' Fund - Direct Plan - Growth'), (1, ' Fund - Regular Plan - Growth'),
   (2, ' Fund - Direct Plan - IDCW'), (3, ' Fund - Regular - Dividend')), raw AS (
@@ -329,32 +331,40 @@ FROM moves GROUP BY ALL"""
 _ORACLE: dict[str, str] = {
     "conform_schema": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate, CAST(NULL AS DOUBLE) AS gap_pct, "
                       "CAST(NULL AS VARCHAR) AS remark, 'double' AS gap_type, 'string' AS remark_type FROM orders",
-    "cell_grid": "WITH {sheets}, numbered AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY company_id) + 3 AS rn FROM sheet), "
-                 "files AS (SELECT source_file, k, scheme_code, count(*) AS n FROM sheet GROUP BY ALL) "
-                 "SELECT source_file, CAST(rn AS INT) AS row_idx, CAST(5 AS INT) AS width, instrument_name_raw AS first_cell, "
-                 "format('{{:,}}', CAST(quantity AS BIGINT)) AS third_cell FROM numbered "
+    "cell_grid": "WITH {sheets}, files AS (SELECT DISTINCT source_file, k, scheme_code, n, upper_n, pages, k = 1 AND n > upper_n AS two FROM sheet), "
+                 "every AS (SELECT source_file, pages + 3 + r + CASE WHEN k = 1 AND r > upper_n THEN 2 ELSE 0 END AS line_no, 5 AS width, "
+                 "CASE WHEN k = 5 THEN CAST(weight_pct AS VARCHAR) ELSE instrument_name_raw END AS a, CASE WHEN k = 5 THEN own ELSE format('{{:,}}', CAST(quantity AS BIGINT)) END AS b FROM sheet "
                  "UNION ALL SELECT source_file, 0, 1, 'Monthly portfolio statement', NULL FROM files "
-                 "UNION ALL SELECT source_file, 1, 5, 'Scheme ' || scheme_code || '  Fund', '' FROM files "
-                 "UNION ALL SELECT source_file, 2, 1, 'As on month end', NULL FROM files "
-                 "UNION ALL SELECT source_file, 3, CASE WHEN k = 7 THEN 2 ELSE 5 END, CASE WHEN k = 7 THEN 'hello' ELSE 'Name of the Instrument' END, CASE WHEN k <> 7 THEN 'Quantity' END FROM files "
-                 "UNION ALL SELECT source_file, CAST(n + 4 AS INT), 5, 'Grand Total', '' FROM files "
-                 "UNION ALL SELECT source_file, CAST(n + 5 AS INT), 5, 'Notes: figures are rounded', '' FROM files",
-    "header_rows": "WITH {sheets} SELECT DISTINCT source_file, 3 AS row_idx, 0 AS c_name, CASE WHEN k <> 4 THEN 1 END AS c_isin, 2 AS c_qty, "
-                   "3 AS c_val, 4 AS c_wt, CAST(mult AS DOUBLE) AS mult, 5 AS width FROM sheet WHERE k <> 7",
+                 "UNION ALL SELECT source_file, i, 1, 'Legal text page ' || i, NULL FROM (SELECT source_file, unnest(range(1, pages + 1)) AS i FROM files) "
+                 "UNION ALL SELECT source_file, pages + 1, CASE WHEN k IN (3, 5) THEN 1 ELSE 5 END, CASE WHEN k IN (3, 5) THEN 'Position list' ELSE 'Scheme ' || scheme_code || '  Fund' END, "
+                 "CASE WHEN k NOT IN (3, 5) THEN '' END FROM files "
+                 "UNION ALL SELECT source_file, pages + 2, 1, 'As on month end', NULL FROM files "
+                 "UNION ALL SELECT source_file, pages + 3, CASE WHEN k = 7 THEN 2 ELSE 5 END, CASE k WHEN 7 THEN 'hello' WHEN 5 THEN '% to NAV' ELSE 'Name of the Instrument' END, "
+                 "CASE WHEN k = 5 THEN 'ISIN Code' WHEN k <> 7 THEN 'Quantity' END FROM files "
+                 "UNION ALL SELECT source_file, pages + 4 + upper_n, 5, 'Scheme ' || scheme_code || ' B  Fund', '' FROM files WHERE two "
+                 "UNION ALL SELECT source_file, pages + 5 + upper_n, 5, 'Name of the Instrument', 'Quantity' FROM files WHERE two "
+                 "UNION ALL SELECT source_file, pages + 4 + n + CASE WHEN two THEN 2 ELSE 0 END, 5, 'Grand Total', '' FROM files "
+                 "UNION ALL SELECT source_file, pages + 5 + n + CASE WHEN two THEN 2 ELSE 0 END, 5, 'Notes: figures are rounded', '' FROM files) "
+                 "SELECT source_file, CAST(line_no AS INT) AS row_idx, CAST(width AS INT) AS width, a AS first_cell, b AS third_cell FROM every",
+    "header_rows": "WITH {sheets}, heads AS (SELECT DISTINCT source_file, k, mult, pages + 3 AS line_no FROM sheet WHERE k <> 7 "
+                   "UNION ALL SELECT DISTINCT source_file, k, mult, pages + 5 + upper_n FROM sheet WHERE k = 1 AND n > upper_n) "
+                   "SELECT source_file, CAST(line_no AS INT) AS row_idx, CASE WHEN k = 5 THEN 1 ELSE 0 END AS c_name, CASE k WHEN 4 THEN NULL WHEN 5 THEN 2 ELSE 1 END AS c_isin, "
+                   "CASE WHEN k = 5 THEN 4 ELSE 2 END AS c_qty, 3 AS c_val, CASE WHEN k = 5 THEN 0 ELSE 4 END AS c_wt, CAST(mult AS DOUBLE) AS mult, 5 AS width FROM heads",
     "adapter_score": "WITH {sheets} SELECT DISTINCT source_file, CASE WHEN k < 6 THEN upper(stem) WHEN k = 6 THEN 'GENERIC' END AS amc_code, "
                      "CASE WHEN k < 6 THEN stem WHEN k = 6 THEN 'generic-tabular' END AS adapter, "
                      "CAST(CASE WHEN k = 6 THEN 0.55 WHEN k = 7 THEN 0 ELSE 1 END AS DOUBLE) AS score, "
                      "CASE WHEN k = 7 THEN 'quarantined' ELSE 'parsed' END AS status, "
                      "CASE WHEN k = 7 THEN 'no adapter matched' END AS reason FROM sheet",
-    "disclosure_parse": "WITH {sheets} SELECT source_file, 'Scheme ' || scheme_code || ' Fund' AS scheme_name, instrument_name_raw, "
+    "disclosure_parse": "WITH {sheets} SELECT source_file, CASE WHEN k IN (3, 5) THEN replace(source_file, '.csv', '') "
+                        "ELSE 'Scheme ' || scheme_code || CASE WHEN k = 1 AND r > upper_n THEN ' B' ELSE '' END || ' Fund' END AS scheme_name, instrument_name_raw, "
                         "CASE WHEN k <> 4 THEN own END AS isin, quantity, market_value * CAST(mult AS DOUBLE) AS market_value, "
                         "CAST(weight_pct AS DOUBLE) AS weight_pct, 'equity' AS asset_class, "
                         "CASE WHEN k < 6 THEN upper(stem) ELSE 'GENERIC' END AS amc_code, CASE WHEN k < 6 THEN stem ELSE 'generic-tabular' END AS adapter, "
                         "DATE '2001-11-01' AS disclosure_month, 'run-1' AS ingestion_run_id FROM sheet WHERE k <> 7",
     "ingest_quarantine": "WITH {sheets} SELECT DISTINCT source_file AS file, 'no adapter matched' AS reason, 'run-1' AS run_id FROM sheet WHERE k = 7",
     "mapping_validate": "WITH {sheets}, files AS (SELECT DISTINCT source_file, k FROM sheet) "
-                        "SELECT source_file, 'instrument_name' AS field, 'Name of the Instrument' AS \"column\", k <> 7 AS kept FROM files "
-                        "UNION ALL SELECT source_file, 'isin', 'ISIN', k NOT IN (4, 7) FROM files "
+                        "SELECT source_file, 'instrument_name' AS field, 'Name of the Instrument' AS \"column\", k NOT IN (5, 7) AS kept FROM files "
+                        "UNION ALL SELECT source_file, 'isin', 'ISIN', k NOT IN (4, 5, 7) FROM files "
                         "UNION ALL SELECT source_file, 'quantity', 'Units Held', false FROM files "
                         "UNION ALL SELECT source_file, 'market_value', NULL, true FROM files",
     "nav_parse": "WITH {nav} SELECT * FROM nav",
