@@ -85,5 +85,5 @@ def scheme_surrogate(name: Column) -> Column:
 
 
 def month_start(text: Column) -> Column:
-    """'2026-06' to the first day of that month."""
-    return F.to_date(F.concat(text, F.lit("-01")), "yyyy-MM-dd")
+    """'2026-06' to the first day of that month; NULL for other texts."""
+    return F.try_to_date(F.concat(text, F.lit("-01")), "yyyy-MM-dd")

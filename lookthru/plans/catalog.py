@@ -130,6 +130,13 @@ def page_links(spark, d):
     return files.page_links(views.table(spark, d, "pages"), files.ANY_LINK)
 
 
+@query
+def file_links(spark, d):
+    """Links to disclosure files; those of the pages that end in a 't' stand for such."""
+    html = F.regexp_replace("html", r"""(href=["'][^"']*t)(["'])""", "$1.XLSX$2")
+    return files.page_links(views.table(spark, d, "pages").withColumn("html", html))
+
+
 @query
 def file_manifest(spark, d):
     p = views.table(spark, d, "pages")
@@ -242,6 +249,12 @@ def silver_refile(spark, d):
         "scheme_code", "disclosure_month", "company_id", "instrument_name_raw", "weight_pct", "ingestion_run_id")
 
 
+@query
+def silver_promoted(spark, d):
+    """What silver keeps after the second filing: a scheme-month whose newest filing fails the gate has no rows, old ones neither."""
+    return quality.promotable(silver_refile(spark, d))[0]
+
+
 @query
 def ingest_stats(spark, d):
     s = _resolved(spark, d).withColumn("scheme_code", F.col("scheme_name"))

@@ -536,4 +536,13 @@ _ORACLE: dict[str, str] = {
 # The report joins two pieces that both start from the holdings.
 PIECES["dtl_rest"] = PIECES["dtl"].split(PIECES["holdings"] + ", ", 1)[1]
 
+_ORACLE["silver_promoted"] = (
+    "WITH s AS (" + _ORACLE["silver_refile"] + "), ok AS (SELECT scheme_code, disclosure_month FROM s GROUP BY ALL "
+    "HAVING abs(coalesce(sum(CAST(weight_pct AS DECIMAL(18,6))), 0) - 100) <= 0.5) SELECT s.* FROM s JOIN ok USING (scheme_code, disclosure_month)")
+
+# Links to files: the pages of the query, and the pattern with the endings.
+_ORACLE["file_links"] = (
+    _ORACLE["page_links"].replace("(?i)href=[\"'']([^\"'']+)[\"'']", "(?i)href=[\"'']([^\"'']+\\.(?:xlsx|xls|csv|zip|pdf))[\"'']").replace(
+        "FROM pages)", "FROM (SELECT page_id, url, regexp_replace(html, '(href=[\"''][^\"'']*t)([\"''])', '\\1.XLSX\\2', 'g') AS html FROM pages))"))
+
 ORACLE = {name: sql.format(**PIECES) for name, sql in _ORACLE.items()}

@@ -6,11 +6,13 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.identifiers import month_start
 from ..operators import marts, overlap, quality, resolve
 from ..operators.corporate import adjust_holdings, read_actions
 from ..operators.disclosure import ADAPTERS, Adapter, parse_disclosures
 from ..sources import sinks
 from ..sources.grid import cell_grid
+from ..sources.market import instrument_dim, read_instruments
 
 WAREHOUSE = ("silver_holdings", "dim_scheme", "dim_company", "fact_price")
 
@@ -61,11 +63,12 @@ def ingest(grid: DataFrame, companies: DataFrame, months: DataFrame, run_id: str
 
 def month_of_file(grid: DataFrame, month: dt.date | None = None, start: dt.date | None = None,
                   end: dt.date | None = None) -> DataFrame:
-    """Month of each file, the given one or the yyyymm in its name, and why it is left out
+    """Month of each file, the given one or the yyyymm or yyyy-mm in its name, and why it is left out
     (no month, or outside of ``start`` to ``end``)."""
     files = grid.select("source_file").distinct()
     named = F.try_to_date(F.concat(F.regexp_extract("source_file", r"(\d{6})(?=\D*$)", 1), F.lit("01")),
                           "yyyyMMdd")
+    named = F.coalesce(named, month_start(F.regexp_extract("source_file", r"(\d{4}-\d{2})(?=\D*$)", 1)))
     out = files.select("source_file", (named if month is None else F.lit(month)).alias("disclosure_month"))
     m = F.col("disclosure_month")
     outside = (m < F.lit(start) if start is not None else F.lit(False)) | (
@@ -157,8 +160,10 @@ def gold(holdings: DataFrame, schemes: DataFrame, companies: DataFrame, prices:
 
 
 def publish_gold(spark: SparkSession, warehouse: str, out: str, benchmark: DataFrame,
-                 as_of: dt.date) -> dict[str, int]:
-    """Open the warehouse, build every mart and write it; returns row counts."""
+                 as_of: dt.date, instruments: str | None = None) -> dict[str, int]:
+    """Open the warehouse, build every mart and write it; returns row counts. With the path of an exchange's instrument records
+    a table of the companies' tokens is published too."""
     t = sinks.required_tables(spark, warehouse, list(WAREHOUSE))
-    return sinks.publish(gold(t["silver_holdings"], t["dim_scheme"], t["dim_company"],
+    tokens = {} if instruments is None else {"instruments": instrument_dim(read_instruments(spark, instruments), t["dim_company"])}
+    return sinks.publish(tokens | gold(t["silver_holdings"], t["dim_scheme"], t["dim_company"],
                               t["fact_price"], benchmark, as_of), out, order=published_order())

@@ -1,6 +1,7 @@
 """Tables on disk: folders that become empty, ordered files, compaction by size."""
 
 import datetime as dt
+import json
 import os
 
 import pyarrow.parquet as pq
@@ -65,11 +66,13 @@ def test_actions_from_a_file(spark, tmp_path):
     companies = generate.sample_companies(spark)
     (n1, i1), = company_rows(spark, 1)
     (tmp_path / "in").mkdir()
-    sheet(tmp_path / "in", "alpha_202605.csv", [(n1, i1, 100)], ["Alpha Fund"])
+    sheet(tmp_path / "in", "alpha_2026-05.csv", [(n1, i1, 100)], ["Alpha Fund"])
+    sheet(tmp_path / "in", "beta_2026-13.csv", [(n1, i1, 100)], ["Beta Fund"])
     (tmp_path / "actions.csv").write_text(f"isin,ex_date,action_type,ratio,new_isin,note\n{i1},2026-06-01,split,3,,")
     pipeline.run_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), companies, "1", DAY(1),
                        actions=str(tmp_path / "actions.csv"), as_of=dt.date(2026, 7, 1))
-    assert rows_of(spark, str(tmp_path / "out/silver_holdings"), "quantity_adjusted") == [(30.0,)]
+    assert rows_of(spark, str(tmp_path / "out/silver_holdings"), "disclosure_month", "quantity_adjusted") == [(dt.date(2026, 5, 1), 30.0)]
+    assert ("quarantined", "no month") in rows_of(spark, str(tmp_path / "out/file_status"), "status", "reason")
 
 
 def test_only_the_asked_folders_are_dropped(spark, tmp_path):
@@ -109,7 +112,12 @@ def test_published_tables_are_in_order(spark, tmp_path):
     sinks.publish({"dim_company": companies, "dim_scheme": schemes, "fact_price": generate.sample_prices(companies),
                    "silver_holdings": generate.sample_holdings(schemes, companies, dt.date(2026, 6, 1), "r", DAY(1), months=3)}, w)
     large = companies.filter("cap_bucket = 'large'").select("isin", F.lit(100.0 / 32).alias("weight_pct"))
-    counts = pipeline.publish_gold(spark, w, out, large, dt.date(2026, 7, 12))
+    first = companies.orderBy("isin").first()
+    (tmp_path / "tokens.json").write_text("\n".join(json.dumps({"token": t, "symbol": s, "name": "n", "exch_seg": "NSE", "lotsize": "1", "tick_size": "5"})
+                                                  for t, s in (("7", f"{first.nse_symbol}-EQ"), ("8", "NOBODY-EQ"))))
+    counts = pipeline.publish_gold(spark, w, out, large, dt.date(2026, 7, 12), str(tmp_path / "tokens.json"))
+    tokens = {r.isin: r.smartapi_token for r in spark.read.parquet(f"{out}/instruments").collect()}
+    assert tokens[first.isin] == "7" and len(tokens) == companies.count() and set(tokens.values()) == {"7", None}
     files = sorted((tmp_path / "gold" / "dtl").glob("*.parquet"))
     days = [v for f in files for v in pq.read_table(str(f)).column("days_to_liquidate").to_pylist()]
     assert len(days) == counts["dtl"] and days == sorted(days, key=lambda v: (v is None, -(v or 0)))
