@@ -3,10 +3,11 @@
 Words (letters, digits, characters beyond ASCII; A-Z lower-cased) are hashed to rows of an embedding: the word and its first four
 and six bytes each have a row, and their sum is the word's vector. Filters of several widths slide over them, rectified and max-pooled over the whole text; a logistic unit weighs the pooled values. The first dimension of
 the embedding starts as the smoothed log-odds of a row's presence in toxic texts, the rest at random; all is then trained by
-Adagrad. Thresholds are calibrated per language on rows kept out of the fit. The language of a text is itself told
-from its words, so a score depends on the text alone.
+Adagrad. Thresholds are calibrated per language on all labelled rows that the fit hasn't seen: histograms of log-odds by language
+and label, with the histogram of all languages added at the weight of ``PRIOR`` rows, so that a language of few labels
+leans on the others and one of many doesn't. The language of a text is itself told from its words, so a score depends on the text alone.
 
-The fit sees a bounded sample of the labelled rows (``SAMPLE``); scoring sees every row and its whole text.
+The fit sees a bounded sample of the labelled rows (``SAMPLE``); calibration and scoring see every row and its whole text.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lookthru.llm.shared import stored
 from lookthru.llm.text import _KEEP, NOT_WORD, Words, mix, slices
 
 SAMPLE = 6_000           # expected labelled rows of the fit
-SAMPLE_WORDS = 50_000    # longer texts aren't used for the fit
+SAMPLE_WORDS = 10_000    # longer texts aren't used for the fit
 ROWS = 1 << 18           # of the embedding
 DIM = 8
 WIDTHS = (1, 2, 3)
@@ -26,8 +28,10 @@ FILTERS = 8
 EPOCHS = 6
 BATCH = 64
 RATE = 0.05
-LEAST_CALIBRATION = 100  # rows of a language from which it has its own threshold
-MOST_LANGUAGES = 40
+PRIOR = 100.0            # rows that the histogram of all languages counts for in that of each
+MOST_LANGUAGES = 255     # languages told apart, the most frequent of the sample; all others together are one more
+STEP = 1 / 32            # width of a bin of log-odds
+MOST_ODDS = 30.0
 
 
 def buckets(words: Words) -> np.ndarray:
@@ -142,19 +146,16 @@ class Classifier:
             spoken[full] = np.add.reduceat(self.languages[ids[:, 1]], words.first[:-1][full], axis=0, dtype=np.float64)
         return h @ p["v"] + p["c"], spoken.argmax(1)
 
-    def scores(self, words: Words) -> np.ndarray:
-        odds, spoken = self.raw(words)
-        return 1 / (1 + np.exp(-np.clip(odds - self.shifts[spoken], -30, 30)))
 
-
-def _threshold(odds: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the fewest errors; the middle of the gap between the values beside it. With no gain over
+def _threshold(odds: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
+    """The cut with the fewest errors, by weight; the middle of the gap between the values beside it. With no gain over
     calling nothing toxic it lies above all values."""
+    weight = np.ones(len(y)) if weight is None else weight
     order = np.argsort(-odds, kind="stable")
-    gain = np.cumsum(np.where(y[order] == 1, 1, -1))
+    gain = np.cumsum(np.where(y[order] == 1, weight[order], -weight[order]))
     ends = np.append(np.diff(odds[order]) != 0, True)  # equal values stay on one side
-    gain = np.where(ends, gain, -len(y))
-    if not len(y) or gain.max() <= 0:
+    gain = np.where(ends, gain, -np.inf)
+    if not len(y) or gain.max() <= 1e-9:
         return float(odds.max() if len(y) else 0.0) + 2.0
     i = int(gain.argmax())
     below = odds[order][i + 1] if i + 1 < len(odds) else odds[order][i] - 2
@@ -165,14 +166,22 @@ def hold_out(id_: Column) -> Column:
     return F.pmod(F.crc32(id_.cast("string")), F.lit(5))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
-          label_column: str = "toxic", sample: int = SAMPLE) -> Classifier:
-    """A classifier from labelled rows whose crc32 of the id is no multiple of five; a fifth of the sample calibrates. Of each
-    sampled text only word hashes reach the driver. Without labels every score is below one half."""
-    known = (labels.select(F.col(id_column).alias("lid"), F.col(label_column).cast("int").alias("y"))
-             .filter("lid is not null and y is not null").filter(hold_out(F.col("lid")) != 0).dropDuplicates(["lid"]))
-    share = min(1.0, sample / max(1, known.count()))
-    chosen = known.filter(F.pmod(F.xxhash64("lid"), F.lit(1_000_003)) < int(share * 1_000_003) + 1).limit(2 * sample)
+def _known(labels: DataFrame, id_column: str, label_column: str) -> DataFrame:
+    """(lid, y) of the labels that may be learned from; of clashing labels of an id the largest counts."""
+    return (labels.select(F.col(id_column).alias("lid"), F.col(label_column).cast("int").alias("y")).filter("lid is not null and y is not null")
+            .filter(hold_out(F.col("lid")) != 0).groupBy("lid").agg(F.max("y").alias("y")))
+
+
+def _fitted(share: float) -> Column:
+    """Whether a labelled row is one of the fit; a fifth of the rows never is."""
+    h = F.xxhash64("lid")
+    return (F.pmod(h, F.lit(1_000_003)) < int(share * 1_000_003) + 1) & (F.pmod(F.shiftright(h, 20), F.lit(5)) != 0)
+
+
+def fit_sample(docs: DataFrame, known: DataFrame, share: float, id_column: str, text_column: str, lang_column: str) -> Classifier:
+    """A classifier without thresholds from the sampled rows. Of each sampled text only word hashes reach the driver, one text
+    per label: an id that several rows have gives the least of them."""
+    chosen = known.filter(_fitted(share))
     given = docs.select(F.col(id_column).alias("lid"), F.col(text_column).alias("text"), F.coalesce(F.col(lang_column).cast("string"), F.lit("")).alias("lang"))
     rows = given.join(F.broadcast(chosen), "lid").select(F.col("lid").cast("string").alias("id"), "text", "lang", "y")
 
@@ -183,45 +192,77 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
             blobs = [ids[a:b].tobytes() if b - a <= SAMPLE_WORDS else None for a, b in zip(words.first, words.first[1:])]
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("lang"), part.column("y"), pa.array(blobs, pa.binary())], ["id", "lang", "y", "ids"])
 
-    got = sorted((r for r in rows.mapInArrow(run, "id string, lang string, y int, ids binary").filter("ids is not null").limit(4 * sample).collect()),
-                 key=lambda r: (r.id, r.lang, r.y, bytes(r.ids)))
+    one = rows.mapInArrow(run, "id string, lang string, y int, ids binary").filter("ids is not null").groupBy("id", "y").agg(
+        F.min(F.struct("lang", "ids")).alias("r")).select("id", "y", "r.*")
+    got = sorted(one.collect(), key=lambda r: r.id)  # about SAMPLE rows
     texts, y = [np.frombuffer(r.ids, np.int32).reshape(-1, 3) for r in got], np.array([int(r.y > 0) for r in got], np.int64)
     counts: dict[str, int] = {}
     for r in got:
         counts[r.lang] = counts.get(r.lang, 0) + 1
-    langs = sorted(counts, key=lambda x: (-counts[x], x))[:MOST_LANGUAGES] or [""]
-    spoken = np.full((ROWS, len(langs)), 0.5)
+    own = {x: i for i, x in enumerate(sorted(counts, key=lambda x: (-counts[x], x))[:MOST_LANGUAGES])}
+    spoken = np.full((ROWS, max(1, len(own) + (len(counts) > len(own)))), 0.5)
     for r, ids in zip(got, texts):
-        if r.lang in langs:
-            np.add.at(spoken[:, langs.index(r.lang)], ids[:, 1], 1)
-    spoken = np.log(spoken / spoken.sum(0))
-    aside = np.arange(len(got)) % 5 == 0
-    p = fit([t for t, a in zip(texts, aside) if not a], y[~aside])
-    model = Classifier(p, spoken, np.zeros(len(langs)))
-    odds = np.array([_pooled(p, t)[0] @ p["v"] + p["c"] for t, a in zip(texts, aside) if a])
-    said = np.array([spoken[t[:, 1]].sum(0).argmax() for t, a in zip(texts, aside) if a], np.int64)
-    every = _threshold(odds, y[aside])
-    model.shifts = np.array([_threshold(odds[said == i], y[aside][said == i]) if (said == i).sum() >= LEAST_CALIBRATION else every
-                             for i in range(len(langs))])
-    return model
-
+        np.add.at(spoken[:, own.get(r.lang, len(own))], ids[:, 1], 1)
+    return Classifier(fit(texts, y), np.log(spoken / spoken.sum(0)), np.zeros(spoken.shape[1]))
 
-def score(docs: DataFrame, model: Classifier, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, held_out, score (0 to 1) and predicted (1 from one half).
 
-    Null and empty texts are scored by the constants alone. Repeated rows each give a row; an empty table an empty table.
-    """
+def raw_odds(docs: DataFrame, model: Classifier, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, held_out, said, odds): log-odds of every row before calibration, and the number of the language it is in."""
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
         for part in slices(batches, "text"):
-            got = model.scores(Words(part.column("text"), NOT_WORD, lower=True))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array(got), pa.array((got >= 0.5).astype(np.int32))],
-                                             ["id", "held_out", "score", "predicted"])
+            odds, said = model.raw(Words(part.column("text"), NOT_WORD, lower=True))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array(said.astype(np.int32)), pa.array(odds.astype(np.float64))],
+                                             ["id", "held_out", "said", "odds"])
 
     given = docs.select(F.col(id_column).alias("id"), F.coalesce(hold_out(F.col(id_column)) == 0, F.lit(False)).alias("held_out"), F.col(text_column).alias("text"))
-    return given.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int")
+    return given.mapInArrow(run, f"id {kind}, held_out boolean, said int, odds double")
+
+
+def calibrated(odds: DataFrame, known: DataFrame, share: float, languages: int) -> np.ndarray:
+    """The threshold of each language, from the log-odds of all labelled rows that weren't in the fit. Of these only
+    histograms reach the driver: at most 1921 bins for each language and label."""
+    rest = known.filter(~_fitted(share))
+    bins = F.round(F.least(F.greatest(F.col("odds"), F.lit(-MOST_ODDS)), F.lit(MOST_ODDS)) / STEP).cast("int")
+    got = (odds.join(rest, odds["id"] == rest["lid"]).groupBy("said", bins.alias("bin"), (F.col("y") > 0).cast("int").alias("y"))
+           .agg(F.count("*").alias("n")).collect())
+    said, at, y, n = (np.array([r[i] for r in got], np.float64) for i in range(4))
+    pooled = PRIOR * n / n.sum() if len(n) else n
+    return np.array([_threshold(np.append(at[said == i], at) * STEP, np.append(y[said == i], y), np.append(n[said == i], pooled)) for i in range(languages)])
+
+
+def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
+          label_column: str = "toxic", sample: int = SAMPLE) -> Classifier:
+    """A classifier from labelled rows whose crc32 of the id is no multiple of five: fitted on a sample of them, its thresholds set on
+    all others. Without labels every score is below one half. Null ids and labels are left out; of clashing
+    labels of an id the largest counts."""
+    known = _known(labels, id_column, label_column)
+    share = min(1.0, sample / max(1, known.count()))
+    model = fit_sample(docs, known, share, id_column, text_column, lang_column)
+    labelled = docs.join(known.filter(~_fitted(share)).select(F.col("lid").alias(id_column)), id_column, "left_semi")
+    model.shifts = calibrated(raw_odds(labelled, model, id_column, text_column), known, share, model.languages.shape[1])
+    return model
+
+
+def _scored(odds: DataFrame, shifts: np.ndarray) -> DataFrame:
+    above = F.col("odds") - F.element_at(F.array(*map(F.lit, shifts.tolist())), F.col("said") + 1)
+    score = 1 / (1 + F.exp(-F.least(F.greatest(above, F.lit(-MOST_ODDS)), F.lit(MOST_ODDS))))
+    return odds.select("id", "held_out", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+def score(docs: DataFrame, model: Classifier, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, held_out, score (0 to 1) and predicted (1 from one half).
+
+    Null and empty texts are scored by the constants alone. Repeated rows each give a row; an empty table an empty table.
+    """
+    return _scored(raw_odds(docs, model, id_column, text_column), model.shifts)
 
 
 def op7_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, train(docs, labels)).withColumnRenamed("id", "doc_id")
+    """doc_id, held_out, score, predicted. As ``train`` and ``score``, but every text is run through the classifier once."""
+    known = _known(labels, "doc_id", "toxic")
+    share = min(1.0, SAMPLE / max(1, known.count()))
+    model = fit_sample(docs, known, share, "doc_id", "text", "lang")
+    odds = stored(raw_odds(docs, model))
+    return _scored(odds, calibrated(odds, known, share, model.languages.shape[1])).withColumnRenamed("id", "doc_id")

@@ -53,3 +53,34 @@ def test_whole_slices_score_like_single_texts():
 def test_threshold():
     assert 0.4 < toxicity._threshold(np.array([0.1, 0.4, 0.8, 0.9]), np.array([0, 0, 1, 1])) < 0.8
     assert toxicity._threshold(np.array([0.1, 0.9]), np.array([1, 0])) > 0.9
+
+
+def test_thresholds_of_languages_lean_on_all_by_their_number():
+    """The cut of 2 % of the rows is its own where they are many, and near the common one where they are few."""
+    odds, y = np.array([-1.0, 1.0, 3.0]), np.array([0, 1, 1])
+    assert toxicity._threshold(odds, y, np.array([50.0, 30.0, 1.0])) == 0.0
+    own, every = (np.array([0.0, 2.0, 4.0]), np.array([0, 0, 1])), (np.array([-3.0, -1.0, 1.0]), np.array([0, 1, 1]))
+    cut = lambda n: toxicity._threshold(np.append(own[0], every[0]), np.append(own[1], every[1]), np.append([n, n, n], [40.0, 40.0, 20.0]))
+    assert cut(1.0) == -2.0 and cut(500.0) == 3.0
+
+
+def test_a_small_language_gets_its_own_threshold(spark, make):
+    """Toxic words of a rare language are said in clean texts of it too: only its threshold can tell. Labels clash and repeat."""
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(6000):
+        rare = i % 50 == 0
+        bad = i % 3 == 0
+        words = [("q" if rare else "m") + make(rng, 1) for _ in range(40)]
+        words += ["vile"] if bad or rare else []
+        words += ["rotten", "nasty"] if rare and bad else []
+        rows.append((i, " ".join(words), "xx" if rare else "en"))
+        labels.append((i, int(bad)))
+    labels += [(i, 0) for i in range(0, 6000, 3)] + [(None, 1), (7, None)]
+    docs = spark.createDataFrame(rows + rows[:40], "doc_id long, text string, lang string")
+    found = toxicity.op7_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = found.collect()
+    assert len(got) == 6040
+    for rare, least in ((False, 0.97), (True, 0.85)):
+        own = [r for r in got if (r.doc_id % 50 == 0) == rare and r.held_out]
+        assert np.mean([r.predicted == (r.doc_id % 3 == 0) for r in own]) > least
