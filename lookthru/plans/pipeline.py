@@ -101,30 +101,30 @@ def run_files(spark: SparkSession, src: str, out: str, companies: DataFrame, run
     months = month_of_file(grid, month, start, end)
     bronze, _, status = ingest(grid, companies, months, run_id, parsed_at)
     told_at, bronze_at, silver_at = f"{out}/file_status", f"{out}/bronze_holdings", f"{out}/silver_holdings"
-    written = sinks.write_by(status, told_at, "disclosure_month", "run_id")
-    sinks.drop_unwritten(spark, told_at, ("disclosure_month", "run_id"), written, {"run_id": {run_id}})
+    _, stale = sinks.rewrite_by(status, told_at, ("disclosure_month", "run_id"), {"run_id": {run_id}})
+    sinks.drop_folders(spark, stale)
     told = spark.read.schema(status.schema).parquet(told_at).filter(F.col("run_id") == run_id)
     if told.filter(F.col("status") == "parsed").isEmpty():
         raise NothingParsed(f"no file parsed from {src}")
     # Silver is read back from the written bronze, so files are parsed once.
-    written = sinks.write_by(bronze, bronze_at, *by_run)
+    written, stale = sinks.rewrite_by(bronze, bronze_at, by_run, {"ingestion_run_id": {run_id}})
     if not written:
         raise NothingParsed(f"no rows parsed from {src}")
-    removed = sinks.drop_unwritten(spark, bronze_at, by_run, written, {"ingestion_run_id": {run_id}})
-    touched = {values[0] for values in written | removed}
+    sinks.drop_folders(spark, stale)
+    touched = {values[0] for values in [*written, *stale]}
     every = spark.read.schema(bronze.schema).parquet(bronze_at)
     here = every.filter(F.col("disclosure_month").isin([dt.date.fromisoformat(m) for m in touched]))
     silver = silver_of(here, companies, actions, as_of)
     good, bad = quality.promotable(silver) if strict else (silver, None)
-    kept = sinks.write_by_month(good, silver_at)
-    sinks.drop_unwritten(spark, silver_at, ("disclosure_month",), kept, {"disclosure_month": touched})
+    _, stale = sinks.rewrite_by(good, silver_at, ("disclosure_month",), {"disclosure_month": touched})
+    sinks.drop_folders(spark, stale)
     counts = {"files": told.count(), "silver_rows": spark.read.schema(good.schema).parquet(silver_at).filter(
         F.col("ingestion_run_id") == run_id).count()}
     if bad is not None:
         judged = bad.withColumn("judged_by", F.lit(run_id))
         bad_at, by_judge = f"{out}/quarantine_holdings", ("disclosure_month", "judged_by")
-        found = sinks.write_by(judged, bad_at, *by_judge)
-        sinks.drop_unwritten(spark, bad_at, by_judge, found, {"judged_by": {run_id}})
+        _, stale = sinks.rewrite_by(judged, bad_at, by_judge, {"judged_by": {run_id}})
+        sinks.drop_folders(spark, stale)
         counts["quarantined_rows"] = spark.read.schema(judged.schema).parquet(bad_at).filter(F.col("judged_by") == run_id).count()
     return counts
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+from itertools import product
 from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
@@ -24,50 +24,59 @@ def _metrics(seen: Observation) -> dict:
         return {}
 
 
-def write_by(df: DataFrame, path: str, *keys: str) -> set[tuple[str | None, ...]]:
+def write_by(df: DataFrame, path: str, *keys: str) -> None:
     """Write one folder per value of ``keys``; folders of values not in ``df`` stay as they are.
 
-    Returns the values written, as text, seen during the write itself. Rebalance rather than
-    repartition: rows of a folder come together, but one far larger than the rest is split
-    over several tasks and files.
+    Rebalance rather than repartition: rows of a folder come together, but one far
+    larger than the rest is split over several tasks and files.
     """
-    seen = Observation()
-    named = F.struct(*[F.col(k).cast("string").alias(k) for k in keys])
-    (assert_readable(conform(df)).observe(seen, F.to_json(F.collect_set(named)).alias("keys")).hint("rebalance", *keys)
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
-    return {tuple(row.get(k) for k in keys) for row in json.loads(_metrics(seen).get("keys") or "[]")}
-
-
-def write_by_month(df: DataFrame, path: str, month: str = "disclosure_month") -> set[tuple[str | None, ...]]:
-    return write_by(df, path, month)
-
-
-def folders(spark: SparkSession, path: str, *keys: str) -> dict[tuple[str | None, ...], str]:
-    """Values of ``keys``, as text, and the folder of each partition of a table; none if there is no table."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(
-        spark._jvm.org.apache.hadoop.fs.Path(root, "/".join(f"{k}=*" for k in keys)))
-    out = {}
-    for status in found or []:
-        folder = status.getPath().toString()
-        values = [unquote(part.split("=", 1)[1]) for part in folder.split("/")[-len(keys):]]
-        out[tuple(None if v == NULL_FOLDER else v for v in values)] = folder
-    return out
-
+    (assert_readable(conform(df)).hint("rebalance", *keys).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
+
+
+def write_by_month(df: DataFrame, path: str, month: str = "disclosure_month") -> None:
+    write_by(df, path, month)
+
+
+def folders(spark: SparkSession, path: str, keys: tuple[str, ...],
+            within: dict[str, set[str | None]] | None = None) -> dict[tuple[str | None, ...], tuple[str, frozenset[str]]]:
+    """Folder and files of each partition of a table, by the values of ``keys`` as text; with ``within`` only of those whose named keys
+    have one of the given values, and only they are listed. Nothing if there is no table."""
+    jvm = spark._jvm
+    root, escape = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    system, within = root.getFileSystem(spark._jsc.hadoopConfiguration()), within or {}
+    choices = [[NULL_FOLDER if v is None else escape(v) for v in sorted(within[k], key=str)] if k in within else ["*"] for k in keys]
+    found: dict[tuple[str | None, ...], tuple[str, set[str]]] = {}
+    for parts in product(*choices):
+        pattern = "/".join(f"{k}={part}" for k, part in zip(keys, parts))
+        for status in system.globStatus(jvm.org.apache.hadoop.fs.Path(root, pattern + "/*")) or []:
+            folder, _, name = status.getPath().toString().rpartition("/")
+            values = [unquote(x.split("=", 1)[1]) for x in folder.split("/")[-len(keys):]]
+            found.setdefault(tuple(None if v == NULL_FOLDER else v for v in values), (folder, set()))[1].add(name)
+    return {values: (folder, frozenset(names)) for values, (folder, names) in found.items()}
+
+
+def rewrite_by(df: DataFrame, path: str, keys: tuple[str, ...],
+               within: dict[str, set[str | None]]) -> tuple[set[tuple[str | None, ...]], dict[tuple[str | None, ...], str]]:
+    """``write_by``, for a write that is to replace all partitions whose ``within`` keys have one of the given values.
+
+    A dynamic overwrite leaves a partition alone that has become empty. Returned are the values written, and values and folders of
+    the partitions within the range that the write left as they were: exactly those whose files are still the same, for
+    ``drop_folders`` to remove.
+    """
+    spark = df.sparkSession
+    before = folders(spark, path, keys, within)
+    write_by(df, path, *keys)
+    after = folders(spark, path, keys, within)
+    stale = {values: folder for values, (folder, names) in after.items() if before.get(values, (folder, None))[1] == names}
+    return set(after) - set(stale), stale
 
-def drop_unwritten(spark: SparkSession, path: str, keys: tuple[str, ...], written: set[tuple[str | None, ...]],
-                   within: dict[str, set[str | None]]) -> set[tuple[str | None, ...]]:
-    """Remove the folders whose ``within`` keys have one of the given values but that the last write gave no rows.
 
-    A dynamic overwrite leaves a partition alone that has become empty; after it, this takes away what the
-    write was to replace. Returns the values removed. Repeating it after a crash does no harm.
-    """
-    stale = {values: folder for values, folder in folders(spark, path, *keys).items() if values not in written and all(
-        values[keys.index(k)] in allowed for k, allowed in within.items())}
+def drop_folders(spark: SparkSession, stale: dict[tuple[str | None, ...], str]) -> None:
+    """Remove partition folders; repeating it after a crash does no harm."""
     for folder in stale.values():
         target = spark._jvm.org.apache.hadoop.fs.Path(folder)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    return set(stale)
 
 
 def write_ordered(df: DataFrame, path: str, *order: str | Column) -> int:

@@ -78,14 +78,18 @@ def test_actions_from_a_file(spark, tmp_path):
 def test_only_the_asked_folders_are_dropped(spark, tmp_path):
     p = str(tmp_path / "t")
     df = spark.createDataFrame([(1, "a b", "x"), (2, "a b", "x"), (3, None, "x"), (4, "c=d", "y/z")], "n int, k string, r string")
-    assert sinks.write_by(df, p, "k", "r") == {("a b", "x"), (None, "x"), ("c=d", "y/z")}
-    assert set(sinks.folders(spark, p, "k", "r")) == {("a b", "x"), (None, "x"), ("c=d", "y/z")}
-    written = sinks.write_by(df.filter("n = 1"), p, "k", "r")
-    assert sinks.drop_unwritten(spark, p, ("k", "r"), written, {"r": {"x"}}) == {(None, "x")}
+    keys = ("k", "r")
+    assert sinks.rewrite_by(df, p, keys, {"r": {"x", "y/z"}}) == ({("a b", "x"), (None, "x"), ("c=d", "y/z")}, {})
+    assert set(sinks.folders(spark, p, keys)) == {("a b", "x"), (None, "x"), ("c=d", "y/z")}
+    written, stale = sinks.rewrite_by(df.filter("n = 1"), p, keys, {"r": {"x"}})
+    assert written == {("a b", "x")} and set(stale) == {(None, "x")}
+    sinks.drop_folders(spark, stale)
+    sinks.drop_folders(spark, stale)
     assert {r.n for r in spark.read.parquet(p).collect()} == {1, 4}
-    assert sinks.write_by(df.limit(0), p, "k", "r") == set()
-    assert sinks.drop_unwritten(spark, p, ("k", "r"), set(), {"r": {"x", "y/z"}}) == {("a b", "x"), ("c=d", "y/z")}
-    assert sinks.folders(spark, str(tmp_path / "none"), "k") == {}
+    written, stale = sinks.rewrite_by(df.limit(0), p, keys, {"r": {"x", "y/z"}})
+    assert written == set() and set(stale) == {("a b", "x"), ("c=d", "y/z")}
+    assert set(sinks.folders(spark, p, keys, {"k": {"a b", None}})) == {("a b", "x")}
+    assert sinks.folders(spark, str(tmp_path / "none"), ("k",)) == {}
 
 
 def test_ordered_files_hold_ranges_of_their_own(spark, tmp_path):
