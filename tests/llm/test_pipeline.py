@@ -34,7 +34,23 @@ def test_an_empty_table_goes_through(spark, data):
         assert docs.collect() == []
 
 
+def test_odd_rows_go_through_every_stage(spark, data, odd):
+    """Null, empty, long, repeated and clashing rows; each stage is also given the odd table itself."""
+    docs, sizes = odd, []
+    for name, stage in corpus_pipeline.STAGES:
+        alone = stage(spark, odd, data)
+        docs = stage(spark, docs, data)
+        assert name == "encoding" or alone.columns == docs.columns == odd.columns
+        sizes.append((alone.count(), docs.count()))
+    same = [r for r in odd.collect() if r.doc_id == 4]
+    assert len(same) == 2
+    # good: the copies and the two other long texts; single: one of the copies; the rest stays
+    assert [n for _, n in sizes] == [6, 3, 3, 3, 3]
+    assert [n for n, _ in sizes][2:] == [odd.count()] * 3
+    assert {r.doc_id for r in docs.collect()} == {4, 6, None} and all(r.round_trip for r in docs.collect())
+
+
 def test_queries_are_registered():
     names = __spark_entry__.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
     assert set(queries.ORACLE) <= set(queries.QUERIES)
