@@ -1,5 +1,7 @@
 import datetime as dt
+import re
 
+import numpy as np
 import pytest
 
 from lookthru.operators import marts, overlap, portfolio
@@ -46,6 +48,47 @@ def test_overlap_does_not_depend_on_blocks(spark, monkeypatch):
                 min((i * 7 + c * 3) % 11, (j * 7 + c * 3) % 11) for c in range(5))
     assert plain == by_hand
 
+def test_overlap_pairs_are_summed_where_they_are_made(spark, explain, monkeypatch):
+    rows = [(f"S{i:03d}", f"C{c}", float((i * 7 + c * 3) % 11)) for i in range(30) for c in range(i % 5)]
+    h = holdings(spark, rows)
+    plan = explain(overlap.overlap_pairs(h))
+    assert "s1" in plan and not re.search(r"hashpartitioning\([^)]*s1", plan)
+    plain = pairs(overlap.overlap_pairs(h))
+    full = {(r.scheme_a, r.scheme_b): r.overlap_pct
+            for r in overlap.overlap_full(h, scheme_rows(spark, *[f"S{i:03d}" for i in range(33)])).collect()}
+    for block, unit in ((7, 40), (9, 100), (50_000, 20_000_000)):
+        monkeypatch.setattr(overlap, "BLOCK_ROWS", block)
+        monkeypatch.setattr(overlap, "UNIT_PAIRS", unit)
+        assert pairs(overlap.overlap_pairs(h)) == plain
+        again = overlap.overlap_full(h, scheme_rows(spark, *[f"S{i:03d}" for i in range(33)]))
+        assert not re.search(r"hashpartitioning\([^)]*s1", explain(again))
+        got = again.collect()
+        assert len(got) == 33 * 33 and {(r.scheme_a, r.scheme_b): r.overlap_pct for r in got} == full
+
+
+def test_strips_of_a_unit_do_not_change_its_pairs(monkeypatch):
+    draw = np.random.default_rng(3)
+    cells = np.array(sorted({(int(s), int(c)) for s, c in draw.integers(0, 12, (70, 2))}))
+    scheme, company, w = cells[:, 0], cells[:, 1], draw.integers(0, 9, len(cells))
+    for left, right in ((scheme >= 0, scheme >= 0), (scheme % 2 == 0, scheme % 2 == 1)):
+        want = {}
+        for i in np.flatnonzero(left):
+            for j in np.flatnonzero(right):
+                if company[i] == company[j] and scheme[i] != scheme[j] and (left is not right and left[j] == 0 or scheme[i] < scheme[j]):
+                    key = min(scheme[i], scheme[j]), max(scheme[i], scheme[j])
+                    want[key] = want.get(key, 0) + min(w[i], w[j])
+        for strip in (1, 4, 17, 1 << 21):
+            monkeypatch.setattr(overlap, "STRIP_PAIRS", strip)
+            found = [x for part in overlap.unit_pairs(scheme, company, w, left, right) for x in zip(*part)]
+            assert len(found) == len(want) and {(s, t): n for s, t, n in found} == want
+            member = np.unique(scheme)
+            more = (np.append(scheme, member), np.append(company, np.full(len(member), -1)), np.append(w, 0 * member))
+            low, high = (np.append(side, np.isin(member, scheme[side])) for side in (left, right))
+            every = [x for part in overlap._every_pair(*more, low, high) for x in zip(*part)]
+            a, b = int(np.sum(low[len(w):])), int(np.sum(high[len(w):]))
+            assert len(every) == (a * (a - 1) // 2 if left is right or (left == right).all() else a * b)
+            assert {(s, t): n for s, t, n in every if n} == {k: n for k, n in want.items() if n}
+
 
 def test_tiles_bound_a_hot_key(spark, monkeypatch):
     monkeypatch.setattr("lookthru.operators.tiles.BLOCK_MEMBERS", 50)
