@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import EXACT
 
-_MICRO = 1_000_000
+MICRO = 1_000_000
 BLOCK_ROWS = 50_000          # rows of a block of schemes
 UNIT_PAIRS = 20_000_000      # pairs of rows that two blocks give
 STRIP_PAIRS = 1 << 21        # of these, at a time
@@ -49,7 +49,7 @@ def scheme_company_weights(equity: DataFrame, *more_keys: str) -> DataFrame:
     """One row per scheme and company, weight as an exact count of millionths."""
     return (equity.filter(F.col("weight_pct").isNotNull())
             .groupBy("company_id", "scheme_code", *more_keys)
-            .agg((F.sum(exact_weight()) * _MICRO).cast("bigint").alias("w")))
+            .agg((F.sum(exact_weight()) * MICRO).cast("bigint").alias("w")))
 
 
 def _holders(weights: DataFrame, by: list[str], salt: int) -> DataFrame:
@@ -146,7 +146,7 @@ def _summed(rows: DataFrame, by: list[str], pairs: Callable[..., Iterator[tuple[
                 part = slice(at, at + OUT_ROWS)
                 same = [pa.repeat(t[c][0], len(s1[part])) for c in by]
                 yield pa.RecordBatch.from_arrays([*same, text.take(pa.array(s1[part])), text.take(pa.array(s2[part])),
-                                                  pa.array(total[part] / float(_MICRO))], [*by, "s1", "s2", "overlap_pct"])
+                                                  pa.array(total[part] / float(MICRO))], [*by, "s1", "s2", "overlap_pct"])
 
     return unit.groupBy(*by, "_lo", "_hi").applyInArrow(run, out)
 

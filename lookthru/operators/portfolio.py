@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schemas import EXACT
 from .marts import rounded
-from .overlap import exact_weight, in_month
+from .overlap import MICRO, exact_weight, in_month, resolved_equity, scheme_company_weights
 from .tiles import fragmented, pair_condition, tiled
 
 MONEY = "decimal(18,2)"
@@ -115,27 +115,32 @@ def group_split(weights: DataFrame, companies: DataFrame) -> DataFrame:
                  .alias("weight_pct")))
 
 
-def portfolio_overlaps(positions: DataFrame, overlap: DataFrame, schemes: DataFrame) -> DataFrame:
+def portfolio_overlaps(positions: DataFrame, weights: DataFrame, schemes: DataFrame) -> DataFrame:
     """Overlap of each pair of schemes a portfolio holds, with names; 0 where disjoint.
 
-    ``overlap`` is the sparse pair table. The pairs of a portfolio are cut into tiles
-    so that a portfolio of very many schemes is spread over tasks.
+    ``weights`` has a row per scheme and company (``scheme_company_weights``). Each position takes its scheme's name and
+    weights along, so a pair is worked out where it is made and only positions are shuffled. The positions of a portfolio
+    are cut into tiles so that a portfolio of very many schemes is spread over tasks.
     """
     owned = positions.filter(F.col("value") > 0).select("portfolio_id", "scheme_code").distinct()
-    t = tiled(owned, ["portfolio_id"], "scheme_code")
+    held = weights.groupBy("scheme_code").agg(F.map_from_entries(F.collect_list(F.struct("company_id", "w"))).alias("held"))
+    info = (schemes.select("scheme_code", "scheme_name").join(held, "scheme_code", "full"))
+    t = tiled(owned, ["portfolio_id"], "scheme_code").join(info, "scheme_code", "left")
     pairs = t.alias("a").join(t.alias("b"), pair_condition(
-        "a", "b", ["portfolio_id"], "scheme_code", "scheme_code")).select(
-        F.col("a.portfolio_id").alias("portfolio_id"), F.col("a.scheme_code").alias("s1"),
-        F.col("b.scheme_code").alias("s2"))
-    name_a = schemes.select(F.col("scheme_code").alias("s1"),
-                            F.col("scheme_name").alias("scheme_a_name"))
-    name_b = schemes.select(F.col("scheme_code").alias("s2"),
-                            F.col("scheme_name").alias("scheme_b_name"))
-    return (pairs.join(overlap, ["s1", "s2"], "left").join(name_a, "s1", "left")
-            .join(name_b, "s2", "left").select(
-        "portfolio_id", F.col("s1").alias("scheme_a"), F.col("s2").alias("scheme_b"),
-        F.coalesce(rounded(F.col("overlap_pct"), 2), F.lit(0.0)).alias("overlap_pct"),
-        "scheme_a_name", "scheme_b_name"))
+        "a", "b", ["portfolio_id"], "scheme_code", "scheme_code"))
+    a, b = F.col("a.held"), F.col("b.held")
+
+    def smaller(entry: Column) -> Column:
+        other = F.try_element_at(b, entry["key"])
+        return F.when(other.isNotNull(), F.least(entry["value"], other)).otherwise(0)
+
+    total = F.aggregate(F.map_entries(a), F.lit(0).cast("bigint"), lambda n, entry: n + smaller(entry))
+    share = rounded(total / F.lit(float(MICRO)), 2)
+    return pairs.select(
+        F.col("a.portfolio_id").alias("portfolio_id"), F.col("a.scheme_code").alias("scheme_a"),
+        F.col("b.scheme_code").alias("scheme_b"),
+        F.when(a.isNotNull() & b.isNotNull(), share).otherwise(0.0).alias("overlap_pct"),
+        F.col("a.scheme_name").alias("scheme_a_name"), F.col("b.scheme_name").alias("scheme_b_name"))
 
 
 def weighted_ter(positions: DataFrame, schemes: DataFrame) -> DataFrame:
@@ -165,8 +170,9 @@ def weighted_ter(positions: DataFrame, schemes: DataFrame) -> DataFrame:
 
 
 def xray(positions: DataFrame, holdings: DataFrame, schemes: DataFrame, companies: DataFrame,
-         overlap: DataFrame, month=None) -> dict[str, DataFrame]:
-    """All portfolio tables at once; each is lazy and covers every portfolio."""
+         overlap: DataFrame | None = None, month=None) -> dict[str, DataFrame]:
+    """All portfolio tables at once; each is lazy and covers every portfolio. ``overlap`` is not read: the overlaps of a
+    portfolio are worked out from the holdings of the month."""
     current = in_month(holdings, month)
     owned = valid_positions(positions, current)
     lt = look_through(owned, current)
@@ -175,7 +181,7 @@ def xray(positions: DataFrame, holdings: DataFrame, schemes: DataFrame, companie
         "summary": concentration(lt),
         "top_holdings": top_holdings(lt),
         "split": group_split(lt, companies),
-        "overlaps": portfolio_overlaps(owned, overlap, schemes),
+        "overlaps": portfolio_overlaps(owned, scheme_company_weights(resolved_equity(current)), schemes),
         "fees": weighted_ter(owned, schemes),
     }
 

@@ -249,6 +249,20 @@ def test_xray_returns_all_tables(spark):
     assert got["top_holdings"][0]["rank"] == 1
 
 
+def test_pairs_of_a_portfolio_are_not_shuffled(spark, explain, monkeypatch):
+    h = holdings(spark, [("A", "X", 60.0), ("A", "Y", -5.0), ("B", "X", 40.0), ("B", "Y", 3.0), ("C", "Z", 9.0), ("C", "Y", 1.004)])
+    p = positions(spark, [(who, s, 1.0) for who in "PQ" for s in "ABCD"])
+    weights = overlap.scheme_company_weights(overlap.latest_holdings(h))
+    want = {("A", "B"): 35.0, ("A", "C"): -5.0, ("A", "D"): 0.0, ("B", "C"): 1.0, ("B", "D"): 0.0, ("C", "D"): 0.0}
+    for block in (2000, 2):
+        monkeypatch.setattr("lookthru.operators.tiles.BLOCK_MEMBERS", block)
+        df = portfolio.portfolio_overlaps(p, weights, scheme_rows(spark, "A", "B", "C"))
+        assert not re.search(r"hashpartitioning\([^)]*(s1|scheme_a)", explain(df))
+        rows = df.collect()
+        assert len(rows) == 12 and all({(r.scheme_a, r.scheme_b): r.overlap_pct for r in rows if r.portfolio_id == x} == want for x in "PQ")
+        assert {r.scheme_b_name for r in rows} == {"B", "C", None}
+
+
 def test_direct_lens(spark):
     d = spark.createDataFrame([("P", "X", "XX", 10.0, 5.0, 8.0), ("P", "Y", "YY", 5.0, 4.0, 4.0)],
                               "portfolio_id string, isin string, symbol string, quantity double, "
