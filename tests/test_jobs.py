@@ -281,3 +281,17 @@ def test_live_marks(spark, tmp_path):
     stream = spark.readStream.schema(good.schema).parquet(src)
     stop_clean(ticks.start_live_marks(stream, held, closes, out, str(tmp_path / "cp"), interval=None))
     assert [(r.company_id, r.live_value) for r in spark.read.parquet(out).collect()] == [("X", 1200.0)]
+
+
+def test_tasks_of_the_views_follow_the_rows(spark, data, explain, monkeypatch):
+    """Aggregates over holdings and positions run in tasks of a bounded number of rows, and the window of holdings needs no second shuffle."""
+    from lookthru.plans import views
+    rows = {name: sorted(map(tuple, getattr(views, name)(spark, data).collect())) for name in ("holdings", "positions")}
+    monkeypatch.setattr(views, "TASK_ROWS", 100)
+    n = -(-views.table(spark, data, "lineitem").count() // 100)
+    for name in rows:
+        df = getattr(views, name)(spark, data)
+        plan = explain(df)
+        assert f", {n})" in plan and "REPARTITION_BY_NUM" in plan
+        assert sorted(map(tuple, df.collect())) == rows[name]
+    assert "ENSURE_REQUIREMENTS" not in explain(views.holdings(spark, data)).split("REPARTITION_BY_NUM")[-1]
