@@ -295,3 +295,11 @@ def test_tasks_of_the_views_follow_the_rows(spark, data, explain, monkeypatch):
         assert f", {n})" in plan and "REPARTITION_BY_NUM" in plan
         assert sorted(map(tuple, df.collect())) == rows[name]
     assert "ENSURE_REQUIREMENTS" not in explain(views.holdings(spark, data)).split("REPARTITION_BY_NUM")[-1]
+
+
+def test_mappings_name_every_sheet_without_its_lines(spark, data, explain):
+    from lookthru.plans import feeds
+    found = feeds.mappings(spark, data)
+    assert {r.source_file for r in found.collect()} == {r.source_file for r in feeds.sheet_lines(spark, data).select("source_file").distinct().collect()}
+    plan = explain(found)
+    assert "Union" not in plan and "Window" not in plan
