@@ -20,15 +20,15 @@ class QualityFailure(RuntimeError):
     """Raised in strict mode with the names of the failing gates."""
 
 
-def dq_weights(holdings: DataFrame, tol: float = TOLERANCE_PCT) -> DataFrame:
-    """Sum of weights per scheme-month and whether it is within tolerance of 100."""
+def dq_weights(holdings: DataFrame, tol: float = TOLERANCE_PCT, *more: Column) -> DataFrame:
+    """Sum of weights per scheme-month and whether it is within tolerance of 100; and more aggregates, if given."""
     g = (holdings.groupBy("scheme_code", "disclosure_month")
-         .agg(F.coalesce(F.sum(exact_weight()), F.lit(0)).cast("decimal(28,6)").alias("t")))
+         .agg(F.coalesce(F.sum(exact_weight()), F.lit(0)).cast("decimal(28,6)").alias("t"), *more))
     off = F.abs(F.col("t") - 100)
     return g.select("scheme_code", "disclosure_month",
                     F.col("t").cast("double").alias("total_weight"),
                     off.cast("double").alias("deviation"),
-                    (off <= F.lit(tol).cast("decimal(10,6)")).alias("passed"))
+                    (off <= F.lit(tol).cast("decimal(10,6)")).alias("passed"), *g.columns[3:])
 
 
 def _row(metric: str, value: Column, threshold: float, passed: Column,
@@ -120,6 +120,16 @@ def dq_report(holdings: DataFrame, dtl: DataFrame | None, as_of: dt.date,
     return report
 
 
+def gate_counts(holdings: DataFrame, tol: float = TOLERANCE_PCT) -> DataFrame:
+    """Rows of every scheme-month on each side of ``promotable``, in one pass over the holdings.
+
+    A scheme-month without code or month is on neither side.
+    """
+    judged = dq_weights(holdings, tol, F.count(F.lit(1)).alias("rows"))
+    return judged.filter("scheme_code is not null and disclosure_month is not null and passed is not null").select(
+        "scheme_code", "disclosure_month", F.when(F.col("passed"), "publish").otherwise("quarantine").alias("gate"), "rows")
+
+
 def promotable(holdings: DataFrame, tol: float = TOLERANCE_PCT) -> tuple[DataFrame, DataFrame]:
     """Split off the rows of scheme-months that fail reconciliation: (publish, quarantine)."""
     keys = ["scheme_code", "disclosure_month"]
