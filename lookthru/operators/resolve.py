@@ -45,33 +45,48 @@ def resolve_entities(bronze: DataFrame, companies: DataFrame,
     """Add company_id, resolution_method and resolution_confidence.
 
     Ladder: listed ISIN 1.0, valid but unlisted ISIN 0.9, name match by its score,
-    otherwise unresolved 0.0. Only distinct unresolved names enter the name match.
+    otherwise unresolved 0.0. An identifier and a name as they are spelled are checked, normalised and matched
+    once, however many rows have them; the rows only look them up.
     """
-    own = idf.valid_isin(F.col("isin"))
-    rows = bronze.select("*", own.alias("_isin"),
-                         idf.normalise_name(F.col("instrument_name_raw")).alias("_n"))
-    rows = rows.withColumn("_n", F.when(F.col("_isin").isNull() & (F.col("_n") != ""), F.col("_n")))
-    names = rows.filter(F.col("_n").isNotNull()).select(F.col("_n").alias("n")).distinct()
-    matched = resolve_names(names, companies, threshold).withColumnRenamed("n", "_name_key")
+    isin, name = F.col("isin").cast("string"), F.col("instrument_name_raw").cast("string")
+    told = F.coalesce(isin.rlike("[A-Za-z0-9]"), F.lit(False)) | F.coalesce(name.rlike(r"(?U)\w"), F.lit(False))
+
+    def key(text: Column) -> Column:
+        return F.coalesce(F.concat(F.lit("="), text), F.lit(""))
+
+    keys = (key(isin).alias("_isin_key"),
+            spread_nulls(F.when(told, key(name)), "source_file", "instrument_name_raw").alias("_name_key"))
+    spelled = bronze.select(isin.alias("isin"), name.alias("name")).distinct()
+    cleaned = spelled.select(key(F.col("isin")).alias("_isin_key"), key(F.col("name")).alias("_name_key"),
+                             idf.valid_isin(F.col("isin")).alias("_isin"), idf.normalise_name(F.col("name")).alias("_n"))
+    asked = F.when(F.col("_isin").isNull() & (F.col("_n") != ""), F.col("_n"))
+    names = cleaned.select(asked.alias("n")).filter("n is not null").distinct()
+    matched = resolve_names(names, companies, threshold).withColumnRenamed("n", "_asked")
     listed = companies.select(F.col("isin").alias("_listed")).distinct()
-    by = ("source_file", "instrument_name_raw")
-    keyed = (rows.withColumn("_isin_key", spread_nulls(F.col("_isin"), *by))
-             .withColumn("_name_key", spread_nulls(F.col("_n"), *by)))
-    j = (keyed.join(listed, F.col("_isin_key") == F.col("_listed"), "left")
-         .join(matched, "_name_key", "left"))
+    # Many spellings may have no valid identifier, or no name to ask for.
+    known = (cleaned.withColumns({"_own": spread_nulls(F.col("_isin"), "_name_key"), "_asked": spread_nulls(asked, "_isin_key", "_name_key")})
+             .join(listed, F.col("_own") == F.col("_listed"), "left").join(matched, "_asked", "left"))
     method = (F.when(F.col("_listed").isNotNull(), "isin")
               .when(F.col("_isin").isNotNull(), "isin_unmapped")
-              .when(F.col("fuzzy_isin").isNotNull(), "fuzzy_name").otherwise("unresolved"))
+              .when(F.col("fuzzy_isin").isNotNull(), "fuzzy_name"))
     confidence = (F.when(F.col("_listed").isNotNull(), F.lit(1.0))
-                  .when(F.col("_isin").isNotNull(), F.lit(0.9))
-                  .otherwise(F.coalesce("score", F.lit(0.0))))
-    return j.select(*bronze.columns, F.coalesce("_isin", "fuzzy_isin").alias("company_id"),
-                    method.alias("resolution_method"),
-                    confidence.alias("resolution_confidence"))
+                  .when(F.col("_isin").isNotNull(), F.lit(0.9)).otherwise(F.col("score")))
+    known = known.select("_isin_key", "_name_key", F.coalesce("_isin", "fuzzy_isin").alias("_company"),
+                         method.alias("_method"), confidence.alias("_confidence")).filter("_method is not null")
+    return bronze.select("*", *keys).join(known, ["_isin_key", "_name_key"], "left").select(
+        *bronze.columns, F.col("_company").alias("company_id"),
+        F.coalesce("_method", F.lit("unresolved")).alias("resolution_method"),
+        F.coalesce("_confidence", F.lit(0.0)).alias("resolution_confidence"))
 
 
-def demote_unresolved(df: DataFrame, companies: DataFrame) -> DataFrame:
-    """Equity candidates that are not a listed company become 'other'."""
+def demote_unresolved(df: DataFrame, companies: DataFrame | None = None) -> DataFrame:
+    """Equity candidates that are not a listed company become 'other'.
+
+    Rows of ``resolve_entities`` tell it by their method; for others the companies are given.
+    """
+    if companies is None:
+        cls = F.when((F.col("asset_class") == "equity") & ~F.col("resolution_method").isin("isin", "fuzzy_name"), "other").otherwise(F.col("asset_class"))
+        return df.withColumn("asset_class", cls)
     listed = companies.select(F.col("isin").alias("company_id"),
                               F.lit(True).alias("_ok")).distinct()
     cls = (F.when((F.col("asset_class") == "equity") & F.col("_ok").isNull(), "other")
@@ -98,7 +113,7 @@ def build_silver(bronze: DataFrame, companies: DataFrame,
                  threshold: float = COMPANY_THRESHOLD) -> DataFrame:
     keyed = bronze.withColumn("scheme_code", idf.scheme_surrogate(F.col("scheme_name")))
     resolved = resolve_entities(keyed, companies, threshold)
-    return dedup_latest(demote_unresolved(resolved, companies))
+    return dedup_latest(demote_unresolved(resolved))
 
 
 def scheme_master(nav: DataFrame) -> DataFrame:
