@@ -16,7 +16,7 @@ want of features.
 Equal sets are one class, known by a 64-bit number of the set. Classes that share a signature aren't compared in
 pairs at first: each is compared with the one of them that shares the most signatures with others, which for copies of one
 text is mostly its source. Only classes that share a signature but no component after that are paired, in tiles of bounded
-size, if their sizes and 256-bit parity sketches allow the similarity. Every link is verified by the words themselves.
+size, if their sizes and parity sketches allow the similarity. Every link is verified by the words themselves.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ WIDTH = 4
 THRESHOLD = 85
 GROWTH = 1.5        # of the sizes from band to band
 LARGEST = 1 << 40
+SKETCH = 1024       # bits of a sketch; of fewer, those of large sets allow nearly any pair
+SKETCHED = 1024     # sets whose sketches are made at a time
 FEW = 32            # up to so many differences, groups have parts; beyond, a part is a group of its own
 
 
@@ -108,10 +110,15 @@ def set_numbers(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def sketches(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """256 parities of each set as four integers: two sets differ in at least as many features as their sketches in bits."""
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    odd = np.bincount(owner * 256 + (hashes >> np.uint64(7) & np.uint64(255)).astype(np.int64), minlength=256 * len(sizes)) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, 4)
+    """``SKETCH`` parities of each set as integers of 64: two sets differ in at least as many features as their sketches in bits."""
+    owner, place = np.repeat(np.arange(len(sizes)), sizes), (hashes >> np.uint64(7) & np.uint64(SKETCH - 1)).astype(np.int64)
+    out = np.zeros((len(sizes), SKETCH // 64), np.int64)
+    ends = np.cumsum(np.append(0, sizes))
+    for i in range(0, len(sizes), SKETCHED):
+        n, own = len(sizes[i:i + SKETCHED]), slice(ends[i], ends[min(i + SKETCHED, len(sizes))])
+        odd = np.bincount((owner[own] - i) * SKETCH + place[own], minlength=SKETCH * n) & 1
+        out[i:i + n] = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(n, -1)
+    return out
 
 
 def signatures(hashes: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -227,7 +234,7 @@ def class_links(docs: DataFrame, prints: DataFrame, id_column: str, text_column:
     split = marked.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
     sizes = prints.filter("cls is not null").groupBy("cls").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     rest = tiled(marked.join(split, "sig").distinct().join(sizes, "cls"), ["sig"], "cls")
-    bits = sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(4)), F.lit(0))
+    bits = sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
     fits = ((F.col("x.label") != F.col("y.label")) & (100 * F.least("x.n", "y.n") >= THRESHOLD * F.greatest("x.n", "y.n"))
             & ((100 + THRESHOLD) * bits <= (100 - THRESHOLD) * (F.col("x.n") + F.col("y.n"))))
     far = (rest.alias("x").join(rest.alias("y"), pair_condition("x", "y", ["sig"], "cls", "cls") & fits)
