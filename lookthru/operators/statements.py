@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.cells import to_num
+from ..functions.cells import grouped_num
 from ..functions.privacy import holding_lines, redact
 
 
@@ -23,9 +23,9 @@ def statement_holdings(pages: DataFrame, col: str = "text") -> DataFrame:
     typed = lines.select(
         "statement_id", F.struct("page", "at").alias("at"), F.col("h.isin").alias("isin"),
         F.col("h.scheme").alias("scheme_name"),
-        to_num(F.col("h.units")).cast("decimal(24,6)").alias("units"),
-        to_num(F.col("h.nav")).alias("nav"),
-        to_num(F.col("h.value")).cast("decimal(24,2)").alias("value"))
+        grouped_num(F.col("h.units")).cast("decimal(24,6)").alias("units"),
+        grouped_num(F.col("h.nav")).alias("nav"),
+        grouped_num(F.col("h.value")).cast("decimal(24,2)").alias("value"))
     return typed.filter(F.col("value") > 0).groupBy("statement_id", "isin").agg(
         F.max_by("scheme_name", "at").alias("scheme_name"),
         F.sum("units").cast("double").alias("units"), F.max_by("nav", "at").alias("nav"),

@@ -199,3 +199,12 @@ def test_statement_merge(spark):
     first = got["INF209K01YN0"]
     assert (first.scheme_name, first.units, first.nav, first.value) == (
         "Some Fund Growth", 1244.567, 403.0, 496889.12)
+
+
+def test_statement_lines_are_cut_without_patterns_compiled_by_line(spark, explain):
+    pages = [("S", 1, "IN0123456789 –  A  B\tC 1,0.5 2.0 3,00.00\nIN0123456789-   1.0 2.0 4.00")]
+    df = spark.createDataFrame(pages, "statement_id string, page int, text string")
+    got = statement_holdings(df)
+    assert [tuple(r) for r in got.collect()] == [("S", "IN0123456789", "", 11.5, 2.0, 304.0)]
+    plan = explain(got)
+    assert "RLIKE" not in plan and r"(?U)\s+, -1" not in plan
