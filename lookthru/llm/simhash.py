@@ -88,14 +88,11 @@ def _close(a: Column, b: Column, bits: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= bits
 
 
-def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(a, b): links between the distinct fingerprints of ``prints`` (column fp) whose components are those of all
-    pairs within two bits."""
-    members = stored(prints.select("fp", F.explode(F.array(*(
-        F.struct(F.lit(s).alias("s"), _segment(F.col("fp"), s).alias("v")) for s in (0, 1)))).alias("m"))
-        .select("fp", "m.s", "m.v"))
-    values = stored(members.groupBy("s", "v").agg(F.count("*").alias("n")))
+def _met(values: DataFrame) -> DataFrame:
+    """(s, v0, v1, n0, n1): values of ``values`` (s, v, n) that differ in one bit.
 
+    Spark sizes a table behind ``explode`` as the one before it and would broadcast 16 variants of every value where
+    the values alone are small, so the join is named."""
     def variants(bit: int) -> DataFrame:
         places = F.filter(F.sequence(F.lit(0), F.lit(31)),
                           lambda p: F.call_function("getbit", F.col("v"), p) == bit)
@@ -103,7 +100,17 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
                 .select("s", "p", F.expr(f"v ^ shiftleft({bit}L, p)").alias("rest"),
                         F.col("v").alias(f"v{bit}"), F.col("n").alias(f"n{bit}")))
 
-    met = variants(0).join(variants(1), ["s", "p", "rest"]).select("s", "v0", "v1", "n0", "n1")
+    return variants(0).hint("merge").join(variants(1), ["s", "p", "rest"]).select("s", "v0", "v1", "n0", "n1")
+
+
+def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(a, b): links between the distinct fingerprints of ``prints`` (column fp) whose components are those of all
+    pairs within two bits."""
+    members = stored(prints.select("fp", F.explode(F.array(*(
+        F.struct(F.lit(s).alias("s"), _segment(F.col("fp"), s).alias("v")) for s in (0, 1)))).alias("m"))
+        .select("fp", "m.s", "m.v"))
+    values = stored(members.groupBy("s", "v").agg(F.count("*").alias("n")))
+    met = _met(values)
     same = values.filter("n > 1").select("s", F.col("v").alias("v0"), F.col("v").alias("v1"),
                                          F.col("n").alias("n0"), F.col("n").alias("n1"))
     met = stored(met.unionByName(same))

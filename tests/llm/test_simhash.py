@@ -93,3 +93,16 @@ def test_keep_one(spark, odd):
     assert kept.count() == len({r.label for r in found})
     assert {r.doc_id for r in kept.collect()} >= {1, 4, 6}
     assert simhash.keep_one(odd.limit(0)).collect() == [] and simhash.op6_simhash(odd.limit(0)).collect() == []
+
+
+def test_variants_of_values_are_never_broadcast(spark, tmp_path):
+    rng = random.Random(5)
+    values = [(s, rng.getrandbits(32), 1) for s in (0, 1) for _ in range(500)]
+    values += [(s, v ^ 1 << rng.randrange(32), 2) for s, v, _ in values[::5]]
+    spark.createDataFrame(values, "s int, v long, n long").distinct().write.parquet(str(tmp_path / "v"))
+    held = spark.read.parquet(str(tmp_path / "v"))  # a small file, whose 32 variants a value Spark sizes no larger
+    met = simhash._met(held)
+    got = {(r.s, r.v0, r.v1) for r in met.collect()}
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    own = {(r.s, r.v) for r in held.collect()}
+    assert got == {(s, v, v | 1 << p) for s, v in own for p in range(32) if not v >> p & 1 and (s, v | 1 << p) in own}
